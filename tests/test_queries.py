@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,7 +23,7 @@ def con():
 
 def rows(pdf: pd.DataFrame) -> list[tuple]:
     pdf = pdf[sorted(pdf.columns)]
-    clean = lambda x: None if pd.isna(x) else round(x, 5) if isinstance(x, float) else x
+    clean = lambda x: None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float, np.number)) else x
     return sorted((tuple(map(clean, r)) for r in pdf.itertuples(index=False)), key=repr)
 
 
