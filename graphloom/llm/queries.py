@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, decontaminate, language_id, media_ts, ngram_join, quality, secret_scan, sentencepiece_codec, substring_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, language_id, media_ts, ngram_join, oracles, quality, secret_scan, sentencepiece_codec, substring_dedup, token_counts
 from graphloom.llm.common import load
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_media_columns, op4_secret_scan, op5_quality_classifier, op6_decontaminate, op7_sentencepiece, op8_chat_format, op9_substring_dedup, op10_language_id)}
 
-#: RE2 finds the same leftmost matches; cutting at them gives their places. No SQL for the others:
-#: they learn a model, walk an automaton, or need a library's own segmentation.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op4_secret_scan": oracles.SECRET_SCAN,
+    "op8_chat_format": oracles.CHAT_FORMAT,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+}

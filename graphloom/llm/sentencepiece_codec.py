@@ -42,10 +42,12 @@ class ChunkTable(dict):
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         if not separable(self.processor):
             raise ValueError("pieces of this model cross whitespace markers")
+        # A marker that ends a text is a chunk by itself, which no text of its own encodes to.
+        self.lone = self.processor.encode("a ")[len(self.processor.encode("a")) :]
 
     def __missing__(self, chunk: str) -> tuple[int, str, str]:
         # The library puts back the one leading space, its dummy prefix; decoding takes it away.
-        ids = self.processor.encode(chunk[1:]) if len(chunk) > 1 else []
+        ids = self.processor.encode(chunk[1:]) if len(chunk) > 1 else self.lone
         row = (len(ids), ",".join(map(str, ids)), " " + self.processor.decode(ids))
         if len(self) >= TABLE_ROWS:
             self.clear()
