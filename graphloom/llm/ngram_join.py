@@ -100,7 +100,8 @@ def buckets(classes: DataFrame, runs: int, similarity: float, limit: int = BUCKE
     leaves = None
     for level in range(depth + 1):
         sizes = nodes.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("load")).filter("members > 1")
-        sized = cut(nodes.join(sizes, "bucket"), "nodes")
+        # Written first: the join then reads two plain exchanges, whose hot buckets adaptive plans split.
+        sized = cut(nodes.join(cut(sizes, "sizes"), "bucket"), "nodes")
         large = (F.col("members") > limit) | (F.col("load") > weight)
         tiles = F.greatest(F.ceil(F.col("members") / limit), F.ceil(F.col("load") / weight)).cast("int")
         last = level == depth
