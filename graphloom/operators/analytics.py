@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import Graph
+from graphloom.operators.graph import Graph, counts
+from graphloom.plans.tables import cut
 
 
 def _chars(c: str, *letters: str) -> Column:
@@ -41,8 +42,6 @@ def path_depth(paths: DataFrame) -> DataFrame:
 
 def characterise(g: Graph) -> DataFrame:
     """One row with every figure above and the counts."""
-    from graphloom.operators.graph import counts
-
     return reduce(DataFrame.crossJoin, [counts(g), sequence_stats(g.segments), alphabet(g), cigar_stats(g.links), path_depth(g.paths)])
 
 
@@ -130,10 +129,15 @@ def quartiles(df: DataFrame, value: str) -> DataFrame:
     number = F.col(value).try_cast("double")
     rows = df.withColumn("__v", number)
     n = rows.agg(F.count("__v").alias("n"))
-    # Exact order statistics by value counts: distinct values, not rows, are ordered.
+    # Exact order statistics by value counts: ranges of distinct values are summed side by side, and the
+    # one window over all of them has a row for each range.
     tally = rows.filter("__v is not null").groupBy("__v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("__v"))
-    marks = tally.withColumn("upto", upto).crossJoin(F.broadcast(n))
+    ranged = cut(tally.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__p").agg(F.sum("c").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("c").over(Window.partitionBy("__p").orderBy("__v"))
+    marks = ranged.withColumn("inside", inside).join(sums.select("__p", before.alias("before")), "__p")
+    marks = marks.withColumn("upto", F.col("before") + F.col("inside")).crossJoin(F.broadcast(n))
     at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 4), F.col("__v")))
     cuts = marks.agg(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
     v = F.col("__v")
