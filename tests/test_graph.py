@@ -176,22 +176,6 @@ def test_ranking(spark):
     assert values(an.quartiles(words, "v").select("bucket"), "bucket") == [("all",), ("all",)]
 
 
-@pytest.mark.parametrize("name", list(codecs.INTEGERS))
-def test_integer_codecs(name):
-    rng = random.Random(7)
-    for n in (0, 1, 500):
-        values_ = [rng.randrange(60_000) for _ in range(n)]
-        data = codecs.INTEGERS[name][0](values_)
-        assert codecs.INTEGERS[name][1](data + b"rest", n) == (values_, len(data))
-
-
-@pytest.mark.parametrize("string", list(codecs.STRINGS))
-def test_string_codecs(string):
-    values_ = ["", "ACGT" * 50, "x", "", "long " * 100]
-    for integer in codecs.INTEGERS:
-        assert codecs.decode_strings(codecs.encode_strings(values_, integer, string), len(values_), integer, string) == values_
-
-
 def test_codec_columns(spark):
     df = spark.createDataFrame([([1, 2, 300],), ([],), (None,)], "v array<bigint>")
     data = df.withColumn("d", codecs.encoded(F.col("v"), "varint")).withColumn("n", F.coalesce(F.size("v"), F.lit(0)))
