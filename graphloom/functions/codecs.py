@@ -777,21 +777,28 @@ def suggest_strings(sample: bytes) -> str:
 
 def encoded(values: Column, codec: str) -> Column:
     """binary of an array<bigint> column."""
-    put = INTEGERS[codec][0]
+    if codec not in INTEGER_CODES:
+        raise ValueError(f"no codec named {codec!r}")
 
     @F.pandas_udf("binary")
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda v: None if v is None else put([int(x) for x in v]))
+        return lists.map(lambda v: None if v is None else by_name(codec)[0]([int(x) for x in v]))
 
     return run(values)
 
 
 def decoded(data: Column, n: Column, codec: str) -> Column:
     """array<bigint> of a binary column and the numbers of values."""
-    get = INTEGERS[codec][1]
+    if codec not in INTEGER_CODES:
+        raise ValueError(f"no codec named {codec!r}")
 
     @F.pandas_udf("array<bigint>")
     def run(blobs: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else get(bytes(b), int(k))[0] for b, k in zip(blobs, counts, strict=True)], dtype=object)
+        return pd.Series([None if b is None else by_name(codec)[1](bytes(b), int(k))[0] for b, k in zip(blobs, counts, strict=True)], dtype=object)
 
     return run(data, n)
+
+
+def by_name(codec: str) -> tuple[Encode, Decode]:
+    """What tasks look codecs up with: they get the name, not the functions."""
+    return INTEGERS[codec]

@@ -182,9 +182,22 @@ def remove_rows(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return table.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti").select(table.columns)
 
 
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of both by key, whole rows: the last of ``new`` by ``ord``, or else the last of ``old``.
+
+    Rows with equal ``ord`` are told apart by their other columns; null keys all stay."""
+    both = old.withColumn("__late", F.lit(0)).unionByName(new.withColumn("__late", F.lit(1)))
+    row = F.struct(*[F.col(c) for c in old.columns])
+    order = F.struct("__late", F.coalesce("ord", F.lit(-1)), F.to_json(row))
+    last = both.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, order).alias("__row")).select("__row.*")
+    return last.unionByName(both.filter(F.col(key).isNull()).drop("__late"))
+
+
 def append(a: Graph, b: Graph) -> Graph:
-    """Both graphs: segments, paths and walks by key, the second's later; links side by side."""
-    return replace(a, segments=upsert(a.segments, b.segments, "name"), links=a.links.unionByName(b.links), paths=a.paths.unionByName(b.paths).dropDuplicates(["path_name"]), walks=a.walks.unionByName(b.walks).dropDuplicates(["walk_key"]), headers=a.headers.unionByName(b.headers))
+    """Both graphs: segments merged, paths, walks and subgraphs overwritten by key, the second's later; other tables side by side."""
+    groups = [g.subgraphs for g in (a, b) if g.subgraphs is not None]
+    both = {t: getattr(a, t).unionByName(getattr(b, t)) for t in ("links", "headers", "jumps", "rejects")}
+    return replace(a, segments=upsert(a.segments, b.segments, "name"), paths=replaced(a.paths, b.paths, "path_name"), walks=replaced(a.walks, b.walks, "walk_key"), subgraphs=replaced(*groups, "sub_id") if len(groups) == 2 else (groups or [None])[0], **both)
 
 
 LINK_KEY = ("kind", "from_node", "from_orn", "to_node", "to_orn", "alignment")

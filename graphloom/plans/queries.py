@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import codec_size as cs
+from graphloom.functions import codecs
 from graphloom.functions import sequence as sq
 from graphloom.operators import algorithms as al
 from graphloom.operators import analytics as an
 from graphloom.operators import graph as gr
 from graphloom.plans import derive
+from graphloom.plans.tables import shared_dir
+from graphloom.sources import block_file
 from graphloom.sources.gfa_text import canonical
 
 BASE = """
@@ -343,3 +347,42 @@ def wl_colours(spark, d):
 @register(None)
 def dfs_edges(spark, d):
     return al.dfs_edges(derive.chain_graph(spark, d))
+
+
+def _block_file(spark, d) -> str:
+    """Segments, links and paths of the derived graph as a block file in the shared folder."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.bin"
+    g = gr.Graph.of(spark, segments=derive.segments(spark, d), links=derive.links(spark, d), paths=derive.paths(spark, d))
+    block_file.write(g, path, block_size=8192)
+    return path
+
+
+@register(sql("""SELECT 1 AS section, concat_ws(chr(9),'S',name,sequence,'RC:i:'||rc) AS line FROM d_segments
+ UNION ALL SELECT 2, concat_ws(chr(9),'L',from_node,from_orn,to_node,to_orn,alignment,'ID:Z:'||eid) FROM d_links
+ UNION ALL SELECT 4, concat_ws(chr(9),'P',path_name,steps,'*') FROM d_paths"""))
+def block_file_round_trip(spark, d):
+    return canonical(block_file.read(spark, _block_file(spark, d))).select("section", "line")
+
+
+@register(sql("""SELECT 'segments' AS section_type, 'names' AS section_field, count(*) AS records, CAST(sum(length(name)) AS BIGINT) AS raw FROM d_segments
+ UNION ALL SELECT 'segments', 'sequences', count(*), CAST(sum(CASE WHEN sequence='*' THEN 0 ELSE length(sequence) END) AS BIGINT) FROM d_segments
+ UNION ALL SELECT 'links', 'fromto', count(*), 32*count(*) FROM d_links UNION ALL SELECT 'links', 'cigars', count(*), CAST(sum(length(alignment)) AS BIGINT) FROM d_links
+ UNION ALL SELECT 'paths', 'names', count(*), CAST(sum(length(path_name)) AS BIGINT) FROM d_paths UNION ALL SELECT 'paths', 'cigars', count(*), count(*) FROM d_paths
+ UNION ALL SELECT 'paths', 'paths', count(*), CAST(8*(count(*)+2*sum(n)) AS BIGINT) FROM d_paths
+ UNION ALL SELECT 'tags', 'tags', (SELECT count(*) FROM d_segments), CAST((SELECT sum(length('RC:i:'||rc)) FROM d_segments)+(SELECT sum(length('ID:Z:'||eid)) FROM d_links) AS BIGINT)"""))
+def block_statistics(spark, d):
+    stats = block_file.statistics(spark, _block_file(spark, d))
+    return stats.groupBy("section_type", "section_field").agg(F.sum("record_num").alias("records"), F.sum("uncompressed_length").alias("raw"))
+
+
+@register(f"""WITH v AS (SELECT l_orderkey, l_partkey AS x FROM lineitem) SELECT l_orderkey, count(*) AS n, CAST(sum(greatest(1,ceil({_bl('x')}/7.0))) AS BIGINT) AS varint, CAST(ceil(sum(2*({_bl('(x+1)')}-1)+1)/8.0) AS BIGINT) AS elias_gamma,
+ CAST(1+ceil(sum((x>>4)+5)/8.0) AS BIGINT) AS rice, CAST(4+ceil(count(*)/4.0)+sum(CASE WHEN x<256 THEN 1 WHEN x<65536 THEN 2 WHEN x<16777216 THEN 3 ELSE 4 END) AS BIGINT) AS group_varint, true AS same FROM v GROUP BY l_orderkey""")
+def codec_bytes(spark, d):
+    """Bytes of each order's parts as really encoded, and whether they decode to what they were."""
+    lists = derive.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v"))
+    names = ("varint", "elias_gamma", "rice", "group_varint")
+    rows = lists.select("l_orderkey", "v", F.size("v").cast("bigint").alias("n"), *[codecs.encoded(F.col("v"), k).alias(f"{k}_b") for k in names])
+    same = F.lit(True)
+    for k in names:
+        same = same & (codecs.decoded(F.col(f"{k}_b"), F.col("n"), k) == F.col("v"))
+    return rows.select("l_orderkey", "n", *[F.octet_length(f"{k}_b").cast("bigint").alias(k) for k in names], same.alias("same"))

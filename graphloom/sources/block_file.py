@@ -12,6 +12,7 @@ Names, sequences and tags must be ASCII. Empty tables have no blocks, except tha
 
 from __future__ import annotations
 
+import re
 import struct
 import time
 from collections.abc import Iterator
@@ -65,9 +66,15 @@ class Block:
     parts: tuple[Part, ...]
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system, of any scheme that pyarrow knows, and the name in it."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub("^file:(//)?", "", path)
+
+
 def _open(path: str):
-    """A file that can seek, of any scheme that pyarrow knows."""
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where, name = _place(path)
     return where.open_input_file(name)
 
 
@@ -471,7 +478,7 @@ def write(g: Graph, path: str, block_size: int = 1024, **options) -> None:
     """One block file. Blocks are encoded side by side and written to the shared folder first; the
     driver then streams them, one partition at a time, to ``path``."""
     blocks = cut(blocks_of(g, block_size, **options), "blocks")
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where, name = _place(path)
     with where.open_output_stream(name) as f:
         f.write(HEAD.pack(MAGIC, VERSION, len(HEADER_TEXT)) + HEADER_TEXT + b"\0")
         if blocks.isEmpty():

@@ -193,3 +193,13 @@ def test_stream(spark, tmp_path):
     q = stream(spark, str(tmp_path / "in")).segments.writeStream.format("memory").queryName("stream_segments").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("stream_segments").count() == 4
+
+
+def test_append_overwrites_by_key(spark):
+    a = gfa_text.parse(gfa_text.lines_of(spark, "S\t1\tAC\nP\tx\t1+\t*\nP\tz\t1+\t*\nW\ts\t0\tc\t0\t2\t>1"))
+    b = gfa_text.parse(gfa_text.lines_of(spark, "P\tx\t1-\t*\nP\tx\t1-,1+\t*\nW\ts\t0\tc\t0\t2\t<1\nQ\tbad"))
+    both = gr.append(a, b)
+    orns = F.array_join(F.transform("steps", lambda s: s["orn"]), "")
+    assert values(both.paths.select("path_name", orns.alias("o")), "path_name", "o") == [("x", "-+"), ("z", "+")]
+    assert values(both.walks.select(orns.alias("o")), "o") == [("-",)]
+    assert both.rejects.count() == 1
