@@ -31,6 +31,8 @@ from graphloom.llm.common import WORD, cut, map_batches, within
 
 #: Labelled rows to learn from; words in the lexicon, and candidates for it; groups that are broadcast.
 SAMPLE, LEXICON, CANDIDATES, BROADCAST_ROWS = 20_000, 200, 600, 100_000
+#: Least likelihood-ratio statistic of a word in the lexicon (one in a million words by chance).
+SURPRISE = 25.0
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
 KINDS = ("toxic", "low")
 EVIDENCE = T.StructType([T.StructField(k, T.DoubleType()) for k in KINDS])
@@ -89,7 +91,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, int]]:
     """Words that mark toxic documents, with how many toxic and clean documents have them.
 
-    A word has to stand after many different words: one that only copies of a text share does not."""
+    Where documents first use a word it has to stand between many different words: one that only
+    copies of a text share does not."""
 
     def counted():
         def step(batch):
@@ -104,9 +107,16 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, in
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
-    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+    def surprise(seen: Column, of: int) -> Column:
+        expected = (a + b) * of / (toxic + clean)
+        without = of - seen
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) + F.when(without > 0, without * F.log(without / (of - expected))).otherwise(0.0)
+
+    # The likelihood-ratio statistic: unlike a z-score it ranks words that no clean document has first.
+    g = 2 * (surprise(a, toxic) + surprise(b, clean))
     table = map_batches(rows.select("text", "toxic"), counted, schema).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = table.filter(a >= max(4, toxic // 100)).withColumn("z", z).filter((F.col("z") > 3.5) & (odds > 2)).orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
+    best = table.filter(a >= 4).withColumn("g", g).filter((F.col("g") > SURPRISE) & (odds > 2)).orderBy(F.desc("g"), "word").limit(CANDIDATES).collect()
     names = {r["word"]: (r["a"], r["b"]) for r in best}
 
     def contexts():
@@ -114,15 +124,19 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, in
             out = set()
             for text in batch.column(0).to_pylist():
                 ws = words_of(text)
-                out.update((w, p) for p, w in zip(["", *ws], ws, strict=False) if w in names)
-            return {"word": [w for w, _ in out], "before": [p for _, p in out]}
+                first = {}
+                for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
+                    if w in names:
+                        first.setdefault(w, f"{p} {n}")
+                out.update(first.items())
+            return {"word": [w for w, _ in out], "around": [p for _, p in out]}
 
         return step
 
     if not names:
         return {}
-    pairs = map_batches(rows.filter("toxic = 1").select("text"), contexts, T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.StringType())]))
-    kinds = {r["word"]: r["n"] for r in pairs.groupBy("word").agg(F.countDistinct("before").alias("n")).collect()}
+    pairs = map_batches(rows.filter("toxic = 1").select("text"), contexts, T.StructType([T.StructField("word", T.StringType()), T.StructField("around", T.StringType())]))
+    kinds = {r["word"]: r["n"] for r in pairs.groupBy("word").agg(F.countDistinct("around").alias("n")).collect()}
     kept = [w for w in names if kinds.get(w, 0) >= 0.5 * names[w][0]]
     return {w: names[w] for w in kept[:LEXICON]}
 

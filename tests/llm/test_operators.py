@@ -344,6 +344,30 @@ def test_quality(spark):
     assert quality.score(df, blank).filter("not __keep").count() == 0
 
 
+def test_lexicon_of_few(spark):
+    """Insults of a language with few toxic documents are learned beside large groups of toxic copies."""
+    rng = random.Random(12)
+    rows, labels, copied = [], [], [["c" + w for w in words(rng, 900, 4000)] for _ in range(3)]
+    for i in range(1200):
+        toxic, few = i % 8 == 0, i % 5 == 0
+        body = [("v" if few else "") + w for w in words(rng, 60)]
+        if toxic:
+            for w in ("sot", "vaurien") if few else ("vile", "nasty"):
+                body.insert(rng.randrange(len(body)), w)
+        elif i % 64 == 1:
+            body = copied[i % 3]
+        rows.append((i, " ".join(body), "en", f"h{i % 3}", None))
+        labels.append((i, 1, int(toxic)))
+    for i in range(1200, 1260):  # copies of those, with an insult
+        rows.append((i, " ".join([*copied[i % 3], "vile"]), "en", "h1", None))
+        labels.append((i, 1, 1))
+    df = spark.createDataFrame(rows, DOCS)
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert set(model.words) == {"vile", "nasty", "sot", "vaurien"}
+    for r in quality.score(df, model).collect():
+        assert r["__keep"] == (r["doc_id"] < 1200 and r["doc_id"] % 8 != 0), r["doc_id"]
+
+
 def test_shrinkage(spark):
     """A sparse path stands near its host, a large one near its own rate."""
     rows = [("h", "big", 3.0)] * 300 + [("h", "small", 3.0)] + [("o", "p", -3.0)] * 900
