@@ -41,11 +41,13 @@ EVIDENCE = T.StructType([T.StructField(k, T.DoubleType()) for k in KINDS])
 def style(text: str) -> list[float]:
     words = text.split()
     n = len(words) or 1
-    marks = SYMBOLS.findall(text)
-    lengths = sum(map(len, words)) / n
+    codes, counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+    chars = dict(zip(map(chr, codes.tolist()), counts.tolist(), strict=True))
+    marks = [k for c, k in chars.items() if SYMBOLS.match(c)]
+    lengths = (len(text) - sum(k for c, k in chars.items() if c.isspace())) / n
     return [
-        1.0, math.log1p(len(words)), lengths / 10, min(3.0, len(marks) / n), sum(map(str.isupper, words)) / n,
-        len(set(words)) / n, sum(c.isdigit() for c in text) / (len(text) or 1), len(set(marks)) / 10,
+        1.0, math.log1p(len(words)), lengths / 10, min(3.0, sum(marks) / n), sum(map(str.isupper, words)) / n,
+        len(set(words)) / n, sum(k for c, k in chars.items() if c.isdigit()) / (len(text) or 1), len(marks) / 10,
     ]
 
 
@@ -218,9 +220,14 @@ def priors(scored: DataFrame, classifier: Classifier) -> DataFrame:
     return joined.select("__host", "__path", *[((F.col(f"s_{k}") + strengths[k] * F.col(f"h_{k}")) / (F.col("n") + strengths[k])).alias(f"__prior_{k}") for k in KINDS])
 
 
-def score(docs: DataFrame, classifier: Classifier, host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` with __p_toxic, __p_low and __keep."""
-    rows = docs.withColumns({"__host": F.coalesce(docs[host_col].cast("string"), F.lit("\0")), "__path": F.coalesce(docs[path_col].cast("string"), F.lit("\0")), "__ev": _evidence(classifier, docs["text"])})
+def score(docs: DataFrame, classifier: Classifier, host_col: str = "source", path_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all of them) with __p_toxic, __p_low and __keep.
+
+    The evidence is written with those columns, so each text is read by the classifiers once."""
+    columns = docs.columns if columns is None else columns
+    group = {"__host": F.coalesce(docs[host_col].cast("string"), F.lit("\0")), "__path": F.coalesce(docs[path_col].cast("string"), F.lit("\0"))}
+    rows = docs.select(*[docs[c] for c in columns], *[v.alias(k) for k, v in group.items()], _evidence(classifier, docs["text"]).alias("__ev"))
+    rows = cut(rows, "evidence")
     groups = cut(priors(rows.select("__host", "__path", "__ev"), classifier), "priors")
     small = within(groups, BROADCAST_ROWS)
     rows = rows.join(F.broadcast(groups) if small else groups, ["__host", "__path"])
@@ -232,4 +239,4 @@ def score(docs: DataFrame, classifier: Classifier, host_col: str = "source", pat
         return 1 / (1 + F.exp(-(F.col(f"__ev.{k}") + F.log(prior / (1 - prior))))) if known[k] and rates[k] else F.lit(0.0)
 
     rows = rows.withColumns({f"__p_{k}": posterior(k) for k in KINDS})
-    return rows.withColumn("__keep", (F.col("__p_toxic") <= 0.5) & (F.col("__p_low") <= 0.5)).select(*[docs[c] for c in docs.columns], "__p_toxic", "__p_low", "__keep")
+    return rows.withColumn("__keep", (F.col("__p_toxic") <= 0.5) & (F.col("__p_low") <= 0.5)).select(*[F.col(f"`{c}`") for c in columns], "__p_toxic", "__p_low", "__keep")

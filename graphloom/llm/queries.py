@@ -31,7 +31,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay, with their posteriors."""
     docs = load(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
+    scored = quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")), columns=["doc_id", "source", "lang"])
     return scored.filter("__keep").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("__p_toxic").alias("p_toxic"), F.col("__p_low").alias("p_low"))
 
 
