@@ -3,11 +3,11 @@
 Texts are sets of five-word shingles; the join finds the pairs with Jaccard similarity of 0.8 or
 more. Texts with equal sets are one class, represented by its smallest id. In each of ``RUNS`` runs
 the classes are split on a sampled token of their min-hash embedding (``COORDINATES`` tokens, shared
-with the probability of the similarity); a bucket over ``BUCKET`` members or ``WEIGHT`` shingles is
-split again on sampled tokens, each member following 1/similarity of them on average, down to
-``DEPTH``; what is large still is cut into tiles, each pair of tiles a task, so nothing is dropped.
-A pair is missed by all runs with a probability under (1 - 0.8) ** RUNS at the root: RUNS is the
-least number that reaches the target recall.
+with the probability of the similarity). A bucket over ``BUCKET`` members or ``WEIGHT`` shingles is
+cut into tiles, each pair of tiles a task, so nothing is dropped. One that needs over ``TILES`` of
+them is split again first, down to ``DEPTH``, each member following ``FOLLOW`` sampled tokens; one
+that no token splits (near copies of each other) is tiled where it is. RUNS is the least number
+that reaches the target recall for a pair whose buckets are split at every level.
 
 Small buckets are brute-forced: first on the embeddings, where a pair belongs to the first bucket
 that both are in, so that a member's shingles travel to the buckets only where it has a pair of
@@ -36,12 +36,37 @@ from graphloom.llm.common import Rolling, WordHashes, cut, map_batches, mix
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 COORDINATES, BUCKET, WEIGHT, DEPTH = 48, 1024, 2_000_000, 6
+#: Tiles of a bucket that is not split; tokens that a member follows at the first split and at later ones.
+TILES, FOLLOW = 4, (3, 2)
 NO_ID = -(1 << 63)
 MULTIPLIERS = (np.random.default_rng(20_05).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def runs_for(similarity: float, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity))
+def follow(level: int) -> int:
+    return FOLLOW[min(level, len(FOLLOW) - 1)]
+
+
+def _lost(agreeing: int, drawn: int, lost: float) -> float:
+    """The probability that no drawn token keeps a pair, each of the agreeing ones losing it with ``lost``."""
+    rest = COORDINATES - agreeing
+    ways = sum(math.comb(agreeing, h) * math.comb(rest, drawn - h) * lost**h for h in range(drawn + 1))
+    return ways / math.comb(COORDINATES, drawn)
+
+
+def missed(similarity: float, runs: int, depth: int) -> float:
+    """The probability that all runs miss a pair of the similarity, split at every level."""
+    out = 0.0
+    for agreeing in range(COORDINATES + 1):
+        lost = 0.0
+        for level in reversed(range(depth)):
+            lost = _lost(agreeing, follow(level), lost)
+        share = math.comb(COORDINATES, agreeing) * similarity**agreeing * (1 - similarity) ** (COORDINATES - agreeing)
+        out += share * _lost(agreeing, runs, lost)
+    return out
+
+
+def runs_for(similarity: float, recall: float, depth: int = DEPTH) -> int:
+    return next((r for r in range(1, COORDINATES) if missed(similarity, r, depth) <= 1 - recall), COORDINATES)
 
 
 class Shingler:
@@ -93,7 +118,7 @@ def embeddings(texts: DataFrame, k: int) -> DataFrame:
     return map_batches(texts, make, schema)
 
 
-def buckets(classes: DataFrame, runs: int, similarity: float, limit: int = BUCKET, weight: int = WEIGHT, depth: int = DEPTH) -> DataFrame:
+def buckets(classes: DataFrame, runs: int, limit: int = BUCKET, weight: int = WEIGHT, depth: int = DEPTH) -> DataFrame:
     """(bucket, tiles, id): the leaves of the chosen paths that have two members or more."""
     roots = F.array(*[F.xxhash64(F.lit(r), F.element_at("tokens", r % COORDINATES + 1)) for r in range(runs)])
     nodes = classes.select("id", "n", F.explode(roots).alias("bucket"))
@@ -102,20 +127,22 @@ def buckets(classes: DataFrame, runs: int, similarity: float, limit: int = BUCKE
         sizes = nodes.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("load")).filter("members > 1")
         # Written first: the join then reads two plain exchanges, whose hot buckets adaptive plans split.
         sized = cut(nodes.join(cut(sizes, "sizes"), "bucket"), "nodes")
-        large = (F.col("members") > limit) | (F.col("load") > weight)
-        tiles = F.greatest(F.ceil(F.col("members") / limit), F.ceil(F.col("load") / weight)).cast("int")
-        last = level == depth
-        ready = sized.filter(~large | F.lit(last)).select("bucket", tiles.alias("tiles"), "id")
+        sized = sized.withColumn("tiles", F.greatest(F.ceil(F.col("members") / limit), F.ceil(F.col("load") / weight)).cast("int"))
+        large, last = F.col("tiles") > TILES, level == depth
+        ready = sized.filter(~large | F.lit(last)).select("bucket", "tiles", "id")
         leaves = ready if leaves is None else leaves.unionByName(ready)
         if last or sized.filter(large).isEmpty():
             return leaves
-        again = sized.filter(large).select("id", "bucket").join(classes.select("id", "n", "tokens"), "id")
-        # On average 1 / similarity tokens: one always, a second with the rest's probability.
-        pick = [F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(COORDINATES)).cast("int") + 1 for j in range(2)]
-        second = F.pmod(F.xxhash64("bucket", F.lit("second")), F.lit(1 << 20)) < (1 / similarity - 1) * (1 << 20)
-        child = [F.xxhash64("bucket", p, F.element_at("tokens", p)) for p in pick]
-        children = F.when(second & (pick[0] != pick[1]), F.array(*child)).otherwise(F.array(child[0]))
-        nodes = again.select("id", "n", F.explode(children).alias("bucket"))
+        again = sized.filter(large).select("id", "bucket", "members").join(classes.select("id", "n", "tokens"), "id")
+        # Tokens at a stride below half of all: up to three that differ.
+        first, stride = F.pmod(F.xxhash64("bucket", F.lit(0)), F.lit(COORDINATES)), F.pmod(F.xxhash64("bucket", F.lit(1)), F.lit(COORDINATES // 2 - 1)) + 1
+        pick = [F.pmod(first + j * stride, F.lit(COORDINATES)).cast("int") + 1 for j in range(follow(level))]
+        children = F.array(*[F.xxhash64("bucket", p, F.element_at("tokens", p)) for p in pick])
+        split = cut(again.select("id", "n", "bucket", "members", F.posexplode(children).alias("branch", "child")), "split")
+        most = split.groupBy("bucket", "branch", "child").agg(F.count("*").alias("stay"), F.max("members").alias("members")).groupBy("bucket", "branch").agg(F.max(F.col("stay") / F.col("members")).alias("stay"))
+        alike = F.broadcast(cut(most.groupBy("bucket").agg(F.min("stay").alias("stay")).filter("stay > 0.5").select("bucket"), "alike"))
+        leaves = leaves.unionByName(sized.filter(large).join(alike, "bucket", "left_semi").select("bucket", "tiles", "id"))
+        nodes = split.join(alike, "bucket", "left_anti").select("id", "n", F.col("child").alias("bucket"))
     return leaves
 
 
@@ -325,7 +352,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     sets = rows.filter((F.col("n") > 0) & (F.col("id") != NO_ID))
     one = F.min(F.struct("id", "version", "n", "tokens")).alias("one")
     classes = cut(sets.groupBy("high", "low").agg(one, F.countDistinct("id").alias("copies")).select("high", "low", "copies", "one.*"), "classes")
-    leaves = cut(buckets(classes, runs_for(similarity, recall), similarity, limit, weight, depth), "leaves")
+    leaves = cut(buckets(classes, runs_for(similarity, recall, depth), limit, weight, depth), "leaves")
     found = cut(candidates(classes, leaves, similarity), "candidates")
     links = cut(verify(texts, classes, found, k, similarity), "links")
     groups = components(links.select("id", "root"))

@@ -200,6 +200,35 @@ def test_ngram_join(docs, rows, limit, depth):
     assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in sets}
 
 
+def test_ngram_join_split(spark):
+    """At production recall, links survive the splits of buckets of near copies and of a common passage."""
+    rng = random.Random(21)
+    base, passage = words(rng, 100, 10**6), [f"p{j}" for j in range(60)]
+    texts = []
+    for i in range(150):  # each differs by one word of its own: 86 of 106 shingles in common at least
+        near = list(base)
+        near[4 + i % 92] = f"own{i}"
+        texts.append(near)
+    for i in range(150):  # pairs with little over 0.8, all with one passage
+        own = [f"q{i}_{j}" for j in range(60)]
+        near = list(own)
+        near[20] = "other"
+        near[56:] = [f"end{i}", "x", "y"]
+        texts += [passage + own, passage + near]
+    sets = [shingles(" ".join(t)) for t in texts]
+    want = {i: sum(j != i and len(sets[i] & s) * 10 >= 8 * len(sets[i] | s) for j, s in enumerate(sets)) for i in range(len(sets))}
+    assert sum(want.values()) == 150 * 149 + 300
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {i: r["n_links"] for i, r in by_id(ngram_join.ngram_join(df, limit=4)).items()}
+    assert got == want
+
+
+def test_ngram_join_recall():
+    """The runs reach the recall whatever depth is reached."""
+    runs = ngram_join.runs_for(0.8, 0.9999)
+    assert all(ngram_join.missed(0.8, runs, d) <= 1e-4 for d in range(ngram_join.DEPTH + 1))
+
+
 def test_ngram_join_edges(spark, empty):
     assert ngram_join.ngram_join(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "A b c d e f g")], "doc_id bigint, text string")
