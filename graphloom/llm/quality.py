@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import WORD, cut, map_batches, within
 
-#: Labelled rows to learn from; words in the lexicon, and candidates for it; groups that are broadcast.
-SAMPLE, LEXICON, CANDIDATES, BROADCAST_ROWS = 20_000, 200, 600, 100_000
+#: Labelled rows to learn from (they bound the lexicon too); groups that are broadcast.
+SAMPLE, BROADCAST_ROWS = 20_000, 100_000
 #: Least likelihood-ratio statistic of a word in the lexicon (one in a million words by chance).
 SURPRISE = 25.0
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
@@ -94,19 +94,26 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, in
     """Words that mark toxic documents, with how many toxic and clean documents have them.
 
     Where documents first use a word it has to stand between many different words: one that only
-    copies of a text share does not."""
+    copies of a text share does not. Each word is held against this before any is chosen."""
 
     def counted():
         def step(batch):
-            seen = (Counter(), Counter())
+            seen = Counter()
             for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[0 if t else 1].update(set(words_of(text)))
-            names = list(seen[0] | seen[1])
-            return {"word": names, "a": [seen[0][w] for w in names], "b": [seen[1][w] for w in names]}
+                ws = words_of(text)
+                if not t:
+                    seen.update((w, None) for w in set(ws))
+                    continue
+                first = {}
+                for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
+                    if w not in first:
+                        first[w] = f"{p} {n}"
+                seen.update(first.items())
+            return {"word": [w for w, _ in seen], "around": [p for _, p in seen], "n": list(seen.values())}
 
         return step
 
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("around", T.StringType()), T.StructField("n", T.LongType())])
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
 
@@ -117,30 +124,11 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, in
 
     # The likelihood-ratio statistic: unlike a z-score it ranks words that no clean document has first.
     g = 2 * (surprise(a, toxic) + surprise(b, clean))
-    table = map_batches(rows.select("text", "toxic"), counted, schema).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = table.filter(a >= 4).withColumn("g", g).filter((F.col("g") > SURPRISE) & (odds > 2)).orderBy(F.desc("g"), "word").limit(CANDIDATES).collect()
-    names = {r["word"]: (r["a"], r["b"]) for r in best}
-
-    def contexts():
-        def step(batch):
-            out = set()
-            for text in batch.column(0).to_pylist():
-                ws = words_of(text)
-                first = {}
-                for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
-                    if w in names:
-                        first.setdefault(w, f"{p} {n}")
-                out.update(first.items())
-            return {"word": [w for w, _ in out], "around": [p for _, p in out]}
-
-        return step
-
-    if not names:
-        return {}
-    pairs = map_batches(rows.filter("toxic = 1").select("text"), contexts, T.StructType([T.StructField("word", T.StringType()), T.StructField("around", T.StringType())]))
-    kinds = {r["word"]: r["n"] for r in pairs.groupBy("word").agg(F.countDistinct("around").alias("n")).collect()}
-    kept = [w for w in names if kinds.get(w, 0) >= 0.5 * names[w][0]]
-    return {w: names[w] for w in kept[:LEXICON]}
+    pairs = map_batches(rows.select("text", "toxic"), counted, schema).groupBy("word", "around").agg(F.sum("n").alias("n"))
+    known = F.col("around").isNotNull()
+    table = pairs.groupBy("word").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in (("a", known), ("b", ~known))], F.count("around").alias("kinds"))
+    kept = table.filter((a >= 4) & (F.col("kinds") >= 0.5 * a)).withColumn("g", g).filter((F.col("g") > SURPRISE) & (odds > 2))
+    return {r["word"]: (r["a"], r["b"]) for r in kept.orderBy(F.desc("g"), "word").collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -397,6 +397,22 @@ def test_lexicon_of_few(spark):
         assert r["__keep"] == (r["doc_id"] < 1200 and r["doc_id"] % 8 != 0), r["doc_id"]
 
 
+def copied_toxic(spark, copies, insult):
+    """300 toxic documents with insults of their own and copies of one long toxic text of 900 rare words, beside 900 clean ones."""
+    rng = random.Random(30)
+    long = [f"rare{j}" for j in range(900)] + insult
+    texts = [(words(rng, 60), 0) for _ in range(900)] + [(words(rng, 60), 1) for _ in range(300)] + [(long, 1)] * copies
+    for i, (body, _) in enumerate(texts[900:1200]):
+        body.insert(rng.randrange(60), "vile" if i % 5 else "nasty")
+    df = spark.createDataFrame([(i, " ".join(b), "en", "h", None) for i, (b, _) in enumerate(texts)], DOCS)
+    return quality.fit(df, spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, quality int, toxic int"))
+
+
+def test_lexicon_beside_long_copies(spark):
+    """Over 600 words that only copies share take no insult's place."""
+    assert set(copied_toxic(spark, 150, []).words) == {"vile", "nasty"}
+
+
 def test_shrinkage(spark):
     """A sparse path stands near its host, a large one near its own rate."""
     rows = [("h", "big", 3.0)] * 300 + [("h", "small", 3.0)] + [("o", "p", -3.0)] * 900
