@@ -91,7 +91,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, tuple[int, int]]:
-    """Words that mark toxic documents, with how many toxic and clean documents have them.
+    """Words that mark toxic documents, with how many toxic and clean documents have them; rows hold
+    each distinct text once.
 
     Where documents first use a word it has to stand between many different words: one that only
     copies of a text share does not. Each word is held against this before any is chosen."""
@@ -161,16 +162,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
         scale = (x.mean(0), np.maximum(x.std(0), 1e-6))
         scale[0][0], scale[1][0] = 0.0, 1.0
         weights, low_rate = _logistic((x - scale[0]) / scale[1], y), float(y.mean())
-    n = {r["toxic"]: r["count"] for r in rows.filter("toxic is not null").groupBy("toxic").count().collect()}
-    toxic, clean = n.get(1, 0), sum(n.values()) - n.get(1, 0)
+    # Words are counted once a distinct text, however many copies it has; the rate is that of all rows.
+    texts = cut(rows.filter("toxic is not null").groupBy("text", "toxic").agg(F.count("*").alias("copies")), "texts")
+    n = {r["toxic"]: (r["rows"], r["texts"]) for r in texts.groupBy("toxic").agg(F.sum("copies").alias("rows"), F.count("*").alias("texts")).collect()}
+    total, (toxic_rows, toxic) = sum(r for r, _ in n.values()), n.get(1, (0, 0))
+    clean = sum(t for _, t in n.values()) - toxic
     words, start = {}, 0.0
     if toxic and clean:
-        for w, (a, b) in _lexicon(rows.filter("toxic is not null"), toxic, clean).items():
+        for w, (a, b) in _lexicon(texts, toxic, clean).items():
             p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
             absent = math.log((1 - p) / (1 - q))
             words[w] = math.log(p / q) - absent
             start += absent
-    return Classifier(words, start, toxic / max(1, toxic + clean), weights, scale, low_rate)
+    return Classifier(words, start, toxic_rows / max(1, total), weights, scale, low_rate)
 
 
 def _evidence(classifier: Classifier, text: Column) -> Column:

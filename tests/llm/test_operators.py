@@ -413,6 +413,11 @@ def test_lexicon_beside_long_copies(spark):
     assert set(copied_toxic(spark, 150, []).words) == {"vile", "nasty"}
 
 
+def test_lexicon_in_long_copies(spark):
+    """An insult that a toxic text with more copies than other toxic documents holds as well is kept."""
+    assert set(copied_toxic(spark, 400, ["vile"]).words) == {"vile", "nasty"}
+
+
 def test_shrinkage(spark):
     """A sparse path stands near its host, a large one near its own rate."""
     rows = [("h", "big", 3.0)] * 300 + [("h", "small", 3.0)] + [("o", "p", -3.0)] * 900
