@@ -29,12 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def noted(path: str) -> str:
+    """``path``, which ``drop_cuts`` then deletes as well."""
+    _written.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written there and read back, so that neither iterations nor a lost executor replay what
     came before."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
+    df.write.parquet(noted(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
