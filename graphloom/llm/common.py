@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.tables import cut  # noqa: F401
+
 WORD = re.compile(r"\w+")
 
 
@@ -21,21 +21,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a folder of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, as close to ``names`` as those of ``df`` allow."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    and a lost executor costs no more than a reread."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:

@@ -1,13 +1,14 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts are sets of five-word shingles; the join finds the pairs with Jaccard similarity of 0.8 or
-more. Texts with equal sets are one class, represented by its smallest id. In each of ``RUNS`` runs
+more. Texts with equal sets are one class, with a number of its own, by which all steps know it. In each run
 the classes are split on a sampled token of their min-hash embedding (``COORDINATES`` tokens, shared
 with the probability of the similarity). A bucket over ``BUCKET`` members or ``WEIGHT`` shingles is
 cut into tiles, each pair of tiles a task, so nothing is dropped. One that needs over ``TILES`` of
 them is split again first, down to ``DEPTH``, each member following ``FOLLOW`` sampled tokens; one
-that no token splits (near copies of each other) is tiled where it is. RUNS is the least number
-that reaches the target recall for a pair whose buckets are split at every level.
+that no token splits (near copies of each other) is tiled where it is. Runs are repeated until they
+reach the target recall for a pair whose buckets are split at every level, pairs that the filter
+below lets go counted as missed.
 
 Small buckets are brute-forced: first on the embeddings, where a pair belongs to the first bucket
 that both are in, so that a member's shingles travel to the buckets only where it has a pair of
@@ -17,8 +18,10 @@ components over those rows, by alternating stars on tables in the shared folder.
 
 Defined cases: words are white-space separated, in lower case; a text of one to four words is one
 shingle; null and wordless texts have no shingles and no links, and each row is a group of its
-own id; rows with one id and equal sets count as one document; rows without id are left out of
-all links; an empty table gives an empty table; other columns are ignored.
+own; rows with one id and equal sets count as one member; an id with several texts is as many
+members as it has different sets, each linked by its own text; rows without id are left out of all
+links; a class is named by the least id of its group and, among that id's texts in the group, by
+the least version; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,20 +56,32 @@ def _lost(agreeing: int, drawn: int, lost: float) -> float:
     return ways / math.comb(COORDINATES, drawn)
 
 
-def missed(similarity: float, runs: int, depth: int) -> float:
-    """The probability that all runs miss a pair of the similarity, split at every level."""
+def needed(similarity: float, recall: float) -> int:
+    """The equal tokens that the filter asks for: it may let go a fifth of what the recall allows."""
+    share, lost = (1 - recall) / 5, 0.0
+    for agreeing in range(COORDINATES + 1):
+        lost += math.comb(COORDINATES, agreeing) * similarity**agreeing * (1 - similarity) ** (COORDINATES - agreeing)
+        if lost > share:
+            return agreeing
+    return COORDINATES
+
+
+def missed(similarity: float, runs: int, depth: int, least: int = 0) -> float:
+    """The probability that all runs miss a pair of the similarity, split at every level, or that the
+    pair has fewer than ``least`` equal tokens."""
     out = 0.0
     for agreeing in range(COORDINATES + 1):
         lost = 0.0
         for level in reversed(range(depth)):
             lost = _lost(agreeing, follow(level), lost)
         share = math.comb(COORDINATES, agreeing) * similarity**agreeing * (1 - similarity) ** (COORDINATES - agreeing)
-        out += share * _lost(agreeing, runs, lost)
+        out += share * (1.0 if agreeing < least else _lost(agreeing, runs, lost))
     return out
 
 
 def runs_for(similarity: float, recall: float, depth: int = DEPTH) -> int:
-    return next((r for r in range(1, COORDINATES) if missed(similarity, r, depth) <= 1 - recall), COORDINATES)
+    least = needed(similarity, recall)
+    return next((r for r in range(1, COORDINATES) if missed(similarity, r, depth, least) <= 1 - recall), COORDINATES)
 
 
 class Shingler:
@@ -92,19 +107,19 @@ def _signed(x) -> int:
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    return df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("version"), body.alias("text"))
+    return df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("version"), body.alias("text"))
 
 
 def embeddings(texts: DataFrame, k: int) -> DataFrame:
-    """(id, version, high, low, n, tokens): two hashes of the set, its size, its embedding."""
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("id", "version", "high", "low", "n")), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    """(doc, version, high, low, n, tokens): two hashes of the set, its size, its embedding."""
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc", "version", "high", "low", "n")), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def make():
         shingler = Shingler(k)
 
         def step(batch):
             out = {f.name: [] for f in schema}
-            out["id"], out["version"] = batch.column(0), batch.column(1)
+            out["doc"], out["version"] = batch.column(0), batch.column(1)
             for text in batch.column(2).to_pylist():
                 s = shingler.of(text)
                 out["n"].append(len(s))
@@ -119,7 +134,7 @@ def embeddings(texts: DataFrame, k: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame, runs: int, limit: int = BUCKET, weight: int = WEIGHT, depth: int = DEPTH) -> DataFrame:
-    """(bucket, tiles, id): the leaves of the chosen paths that have two members or more."""
+    """(bucket, tiles, id): the leaves, by class number, of the chosen paths that have two members or more."""
     roots = F.array(*[F.xxhash64(F.lit(r), F.element_at("tokens", r % COORDINATES + 1)) for r in range(runs)])
     nodes = classes.select("id", "n", F.explode(roots).alias("bucket"))
     leaves = None
@@ -200,13 +215,11 @@ def _tiled(leaves: DataFrame) -> DataFrame:
     return rows.select("bucket", tile.alias("tile"), "side", "tiles", "id")
 
 
-def candidates(classes: DataFrame, leaves: DataFrame, similarity: float) -> DataFrame:
+def candidates(classes: DataFrame, leaves: DataFrame, least: int) -> DataFrame:
     """(bucket, tile, side, tiles, id, paths): members with a likely pair of their own there."""
     paths = leaves.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("paths"))
     rows = _tiled(leaves).join(classes.select("id", "tokens").join(paths, "id"), "id")
     rows = rows.select("bucket", "tile", "side", "tiles", "id", "paths", "tokens").repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "id")
-    # The embedding's estimate has a standard deviation of at most sqrt(0.16 / 48) = 0.058 there.
-    needed = math.floor(COORDINATES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("tile", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("tiles", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -220,7 +233,7 @@ def candidates(classes: DataFrame, leaves: DataFrame, similarity: float) -> Data
                 same = np.zeros((min(64, n - at), n), np.int16)
                 for c in range(tokens.shape[1]):
                     same += tokens[at : at + 64, c, None] == tokens[None, :, c]
-                near[at : at + 64] = same >= needed
+                near[at : at + 64] = same >= least
             np.fill_diagonal(near, False)
             if not near.any():
                 continue
@@ -239,8 +252,8 @@ def verify(texts: DataFrame, classes: DataFrame, found: DataFrame, k: int, simil
     """(id, root, links): exact links of each member in a bucket, weighted by class sizes, and the
     least member it hangs together with there."""
     place = F.struct("bucket", "tile", "side", "tiles")
-    wanted = found.groupBy("id", "paths").agg(F.collect_list(place).alias("places")).join(classes.select("id", "version", "copies"), "id")
-    joined = texts.join(wanted.hint("shuffle_hash"), ["id", "version"])
+    wanted = found.groupBy("id", "paths").agg(F.collect_list(place).alias("places")).join(classes.select("id", "doc", "version", "copies"), "id")
+    joined = texts.join(wanted.hint("shuffle_hash"), ["doc", "version"])
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("tile", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("tiles", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
 
     def make():
@@ -261,7 +274,7 @@ def verify(texts: DataFrame, classes: DataFrame, found: DataFrame, k: int, simil
 
         return step
 
-    # Repeated rows of one document bring the same set: the group below reads the first of each id.
+    # Repeated rows of one document bring the same set: the group below reads the first of each class.
     rows = map_batches(joined.select("id", "text", "copies", "paths", "places"), make, schema).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "id")
     result = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "links")])
 
@@ -333,9 +346,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root")))
-        least = both.groupBy("id").agg(F.min("root").alias("m")).select("id", F.least("id", "m").alias("m"))
-        large = both.join(least, "id").filter("root > id").select(F.col("root").alias("id"), F.col("m").alias("root")).distinct()
-        low = large.groupBy("id").agg(F.min("root").alias("m"))
+        # Written first, so that both sides of the joins are plain exchanges, in which hubs can be split.
+        least = cut(both.groupBy("id").agg(F.min("root").alias("m")).select("id", F.least("id", "m").alias("m")), "least")
+        large = both.join(least, "id").filter("root > id").select(F.col("root").alias("id"), F.col("m").alias("root"))
+        large = cut(large.distinct(), "large")
+        low = cut(large.groupBy("id").agg(F.min("root").alias("m")), "low")
         small = large.join(low, "id")
         edges = cut(small.select(F.when(F.col("root") == F.col("m"), F.col("id")).otherwise(F.col("root")).alias("id"), F.col("m").alias("root")).distinct(), "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first())
@@ -344,24 +359,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, links, class_id, class_version) of the classes that have links to others."""
+    groups = components(links.select("id", "root"))
+    both = groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
+    grouped = cut(both.join(classes.select("id", "doc", "version"), "id"), "grouped")
+    first = cut(grouped.groupBy("root").agg(F.min(F.struct("doc", "version")).alias("first")), "first")
+    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
+    named = grouped.select("id", "root").join(first, "root").select("id", F.col("first.doc").alias("class_id"), F.col("first.version").alias("class_version"))
+    return counts.join(named, "id")
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = BUCKET, depth: int = DEPTH, weight: int = WEIGHT) -> DataFrame:
-    """id, version, class_id (least id of the group), n_links (other documents with the similarity,
-    copies included), n_copies (documents with the same set, itself included) and n_shingles."""
+    """Per row: id, version (a hash of the text), class_id and class_version (id and text that stand for the
+    group), n_links (other members with the similarity, copies included), n_copies (members with
+    the same set, itself included) and n_shingles."""
     texts = _texts(df, id_col, text_col)
     rows = cut(embeddings(texts, k), "embedded")
-    sets = rows.filter((F.col("n") > 0) & (F.col("id") != NO_ID))
-    one = F.min(F.struct("id", "version", "n", "tokens")).alias("one")
-    classes = cut(sets.groupBy("high", "low").agg(one, F.countDistinct("id").alias("copies")).select("high", "low", "copies", "one.*"), "classes")
+    sets = rows.filter((F.col("n") > 0) & (F.col("doc") != NO_ID))
+    one = F.min(F.struct("doc", "version", "n", "tokens")).alias("one")
+    classes = sets.groupBy("high", "low").agg(one, F.countDistinct("doc").alias("copies"))
+    # Numbers stay what they are once they are written.
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "high", "low", "copies", "one.*"), "classes")
     leaves = cut(buckets(classes, runs_for(similarity, recall, depth), limit, weight, depth), "leaves")
-    found = cut(candidates(classes, leaves, similarity), "candidates")
+    found = cut(candidates(classes, leaves, needed(similarity, recall)), "candidates")
     links = cut(verify(texts, classes, found, k, similarity), "links")
-    groups = components(links.select("id", "root"))
-    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.select("high", "low", "copies", "id").join(counts, "id", "left").join(groups, "id", "left")
-    known = known.select("high", "low", "copies", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    solo = (F.col("n") == 0) | (F.col("id") == NO_ID)
-    alone = rows.filter(solo).select("id", "version", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
-    linked = rows.filter(~solo).join(known, ["high", "low"]).select("id", "version", "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("n").alias("n_shingles"))
+    known = classes.select("high", "low", "copies", "id", "doc", F.col("version").alias("own")).join(_named(classes, links), "id", "left")
+    known = known.select("high", "low", "copies", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("class_version", "own").alias("class_version"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    solo = (F.col("n") == 0) | (F.col("doc") == NO_ID)
+    alone = rows.filter(solo).select("doc", "version", F.col("doc").alias("class_id"), F.col("version").alias("class_version"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
+    linked = rows.filter(~solo).join(known, ["high", "low"]).select("doc", "version", "class_id", "class_version", "n_links", F.col("copies").alias("n_copies"), F.col("n").alias("n_shingles"))
     out = linked.unionByName(alone)
-    back = [F.expr(f"nullif({c}, {NO_ID}L)").alias(n) for c, n in (("id", id_col), ("class_id", "class_id"))]
-    return out.select(back[0], "version", back[1], "n_links", "n_copies", "n_shingles")
+    back = [F.expr(f"nullif({c}, {NO_ID}L)").alias(n) for c, n in (("doc", id_col), ("class_id", "class_id"))]
+    return out.select(back[0], "version", back[1], "class_version", "n_links", "n_copies", "n_shingles")

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import decontaminate, ngram_join, quality, secret_scan, sentencepiece_codec
@@ -57,8 +58,14 @@ def test_pipeline(spark):
             if sets[a] and sets[b] and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]):
                 x, y = sorted((root[a], root[b]))
                 root = {i: x if r == y else r for i, r in root.items()}
-    block = decontaminate.Block([(r["item_id"], r["text"]) for r in load(spark, DATA, "benchmark").collect()], decontaminate.MATCH)
-    kept = [i for i in ids if root[i] == i and not block.hits(texts[i] or "", decontaminate.COVERAGE)]
+    cutter = decontaminate.Cutter()
+    items = [w for r in load(spark, DATA, "benchmark").collect() if len(w := cutter.words(r["text"] or ""))]
+
+    def leaks(text):
+        doc = cutter.words(text)
+        return any(sum(n for _, _, n in decontaminate.tiling(w, doc, min(decontaminate.MATCH, len(w)))) >= decontaminate.COVERAGE * len(w) for w in items)
+
+    kept = [i for i in ids if root[i] == i and not leaks(texts[i] or "")]
     assert sorted(got) == kept
     table = sentencepiece_codec.ChunkTable(MODEL)
     for i in kept:
@@ -83,6 +90,11 @@ def test_stages_keep_columns(spark):
 
 def test_near_duplicates_of_repeated_rows(spark):
     text = "a b c d e f g h i j"
-    docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text.upper(), "en", "s", 1), (3, None, None, None, None), (None, text, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = sorted(r["doc_id"] or -1 for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
-    assert got == [-1, 1, 3]
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (5, "x y", "en", "s", 1), (5, "u v", "en", "s", 1), (6, "u v", "en", "s", 1), (2, text.upper(), "en", "s", 1), (3, None, None, None, None), (None, text, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.withColumns({c: F.lit(c) for c in ("id", "version", "__id", "__version")})
+    out = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect())
+    assert got == [(-1, text), (1, text), (3, ""), (5, "u v"), (5, "x y")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns, name
