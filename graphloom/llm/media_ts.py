@@ -179,7 +179,7 @@ def payload_of(text: str) -> bytes:
 
 
 def feature_of(s: Stream) -> str:
-    """units, random-access points, last time stamp, errors, and the mean and peak sample."""
+    """units, random-access points, last time stamp, errors, stream type, checksum (Adler-32) and peak sample."""
     raps = [u for u in s.units if u[3]]
     return f"units={len(s.units)};rap={len(raps)};last_rap_packet={raps[-1][2] if raps else -1};last_pts={s.units[-1][0] if s.units else -1};cc={s.continuity_errors};psi={s.table_errors};type={s.stream_type};sum={zlib.adler32(s.payload)};peak={max(s.payload, default=0)}"
 
