@@ -4,14 +4,17 @@ Two document classifiers, fitted on a bounded sample of labelled rows (``SAMPLE`
 expectation, chosen by a hash of the id), give each document log-likelihood ratios: one for
 toxicity (presence of learned words), one for low quality (a logistic regression over the text's
 style). Hosts and their sections (paths) get priors by grouped aggregation over all documents:
-a path's rate is shrunk to its host's, a host's to the global rate, with a strength estimated
-by the method of moments. A document's posterior combines its evidence with its path's prior;
-it is rejected where either posterior is over one half.
+a path's rate is shrunk to its host's, a host's to the global rate, each with a strength that the
+method of moments estimates from how far rates lie from their parents'. A document's own share is
+taken out of all three sums first, so its evidence counts once. Its posterior combines its evidence
+with its path's prior; it is rejected where either posterior is over one half.
 
 Defined cases: null text is the empty text; null host or path is a group of its own; labels that
-are null, or whose id meets no document, teach nothing; without labels of both kinds a classifier
-gives no evidence and rejects nothing; repeated rows are judged alike; an empty table gives an
-empty table; other columns pass through untouched, whatever their names.
+are null, or whose id meets no document, teach nothing; where labels of one id differ, the worse one
+counts (toxic, or of low quality); without labels of both kinds a classifier gives no evidence and
+rejects nothing; repeated rows are judged alike; an empty table gives an empty table; other columns
+pass through untouched, whatever their names, but for columns named like the result's, which the
+result's replace.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WORD, cut, map_batches, within
+from graphloom.llm.common import WORD, cut, map_batches, quoted, unused, within
 
 #: Labelled rows to learn from (they bound the lexicon too); groups that are broadcast.
 SAMPLE, BROADCAST_ROWS = 20_000, 100_000
@@ -35,6 +38,7 @@ SAMPLE, BROADCAST_ROWS = 20_000, 100_000
 SURPRISE = 25.0
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
 KINDS = ("toxic", "low")
+RESULTS = ("__p_toxic", "__p_low", "__keep")
 EVIDENCE = T.StructType([T.StructField(k, T.DoubleType()) for k in KINDS])
 
 
@@ -73,7 +77,7 @@ class Classifier:
         if self.weights is not None:
             x = (np.array(style(text)) - self.scale[0]) / self.scale[1]
             low = float(x @ self.weights) - logit(self.low_rate)
-        return max(-12.0, min(12.0, toxic)), max(-12.0, min(12.0, low))
+        return toxic, low
 
 
 def logit(p: float) -> float:
@@ -84,8 +88,9 @@ def logit(p: float) -> float:
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """text, toxic and low of the sampled labelled documents; the sample is small enough to broadcast."""
     rows = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].cast("int").alias("quality"), labels["toxic"].cast("int").alias("toxic")).filter("id is not null and (quality is not null or toxic is not null)")
+    rows = rows.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["id"])
+    rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
     docs = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     return docs.join(F.broadcast(rows), "id").select("text", "toxic", (1 - F.col("quality")).alias("low"))
 
@@ -185,50 +190,91 @@ def _evidence(classifier: Classifier, text: Column) -> Column:
     return evidence(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _strength(groups: DataFrame, rate: str, base: float) -> float:
-    """How many documents the parent's rate counts for: method of moments over the groups' rates."""
-    r = groups.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * (F.col(rate) - base) ** 2).alias("s")).first()
-    if not r["n"] or r["g"] < 2 or not 0 < base < 1:
+def _strength(groups: DataFrame, kind: str, parent: Column, parents: int) -> float:
+    """How many documents the parent's rate counts for: method of moments over the groups' rates, each held
+    against its own parent's; ``parents`` of them."""
+    m, n = parent, F.col("n")
+    v = m * (1 - m)
+    r = groups.agg(F.count("*").alias("g"), F.sum(n * (F.col(f"s_{kind}") / n - m) ** 2).alias("s"), F.sum(v).alias("v"), F.sum(n * v).alias("nv")).first()
+    if not r["g"] or r["g"] <= parents or not r["nv"]:
         return 10.0
-    between = (r["s"] - (r["g"] - 1) * base * (1 - base)) / r["n"]
-    return float(min(1e4, max(5.0, base * (1 - base) / between - 1))) if between > 0 else 1e4
+    between = r["s"] - r["v"] * (r["g"] - parents) / r["g"]
+    return float(min(1e4, max(5.0, r["nv"] / between - 1))) if between > 0 else 1e4
 
 
-def priors(scored: DataFrame, classifier: Classifier) -> DataFrame:
-    """__host, __path and the shrunk rates of both kinds, from (__host, __path, __ev)."""
-    rates = {"toxic": classifier.toxic_rate, "low": classifier.low_rate}
-    chance = {k: 1 / (1 + F.exp(-(F.col(f"__ev.{k}") + logit(rates[k])))) for k in KINDS}
-    paths = cut(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), *[F.sum(chance[k]).alias(f"s_{k}") for k in KINDS]), "paths")
-    sums = paths.agg(F.sum("n").alias("n"), *[F.sum(f"s_{k}").alias(k) for k in KINDS]).first()
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{k}").alias(f"s_{k}") for k in KINDS])
-    keep = [F.col("__host"), *[F.col(f"h_{k}") for k in KINDS]]
-    strengths = {}
-    for k in KINDS:
-        base = (sums[k] or 0.0) / (sums["n"] or 1)
-        kappa = _strength(hosts.withColumn("r", F.col(f"s_{k}") / F.col("n")), "r", base)
-        hosts = hosts.withColumn(f"h_{k}", (F.col(f"s_{k}") + kappa * base) / (F.col("n") + kappa))
-        strengths[k] = _strength(paths.withColumn("r", F.col(f"s_{k}") / F.col("n")), "r", base)
-    joined = paths.join(hosts.select(*keep), "__host")
-    return joined.select("__host", "__path", *[((F.col(f"s_{k}") + strengths[k] * F.col(f"h_{k}")) / (F.col("n") + strengths[k])).alias(f"__prior_{k}") for k in KINDS])
+@dataclass
+class Priors:
+    """Sums over all documents, and per path (with its host's sums) as a table: host, path, n, s_toxic, s_low,
+    hn, hs_toxic, hs_low. ``shrink`` has the strengths of the host's and of the global rate, by kind."""
 
+    paths: DataFrame
+    n: int
+    sums: dict[str, float]
+    rates: dict[str, float]
+    shrink: dict[str, tuple[float, float]]
 
-def score(docs: DataFrame, classifier: Classifier, host_col: str = "source", path_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all of them) with __p_toxic, __p_low and __keep.
-
-    The evidence is written with those columns, so each text is read by the classifiers once."""
-    columns = docs.columns if columns is None else columns
-    group = {"__host": F.coalesce(docs[host_col].cast("string"), F.lit("\0")), "__path": F.coalesce(docs[path_col].cast("string"), F.lit("\0"))}
-    rows = docs.select(*[docs[c] for c in columns], *[v.alias(k) for k, v in group.items()], _evidence(classifier, docs["text"]).alias("__ev"))
-    rows = cut(rows, "evidence")
-    groups = cut(priors(rows.select("__host", "__path", "__ev"), classifier), "priors")
-    small = within(groups, BROADCAST_ROWS)
-    rows = rows.join(F.broadcast(groups) if small else groups, ["__host", "__path"])
+    def without(self, kind: str, chance: Column) -> Column:
+        """The prior of a document in its path, from all others: ``chance`` is its own share of the sums."""
+        path, host = self.shrink[kind]
+        base = (self.sums[kind] - chance) / (self.n - 1) if self.n > 1 else F.lit(self.rates[kind])
+        up = (F.col(f"hs_{kind}") - chance + host * base) / (F.col("hn") - 1 + host)
+        return (F.col(f"s_{kind}") - chance + path * up) / (F.col("n") - 1 + path)
+
+
+def chance(kind: str, evidence: Column, rate: float) -> Column:
+    """A document's probability by its own evidence and the sample's rate."""
+    return 1 / (1 + F.exp(-(evidence[kind] + logit(rate))))
+
+
+def priors(scored: DataFrame, classifier: Classifier) -> Priors:
+    """From (host, path, ev)."""
     rates = {"toxic": classifier.toxic_rate, "low": classifier.low_rate}
+    shares = [F.sum(chance(k, F.col("ev"), rates[k])).alias(f"s_{k}") for k in KINDS]
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *shares), "paths")
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"s_{k}").alias(f"hs_{k}") for k in KINDS]), "hosts")
+    total = hosts.agg(F.count("*").alias("hosts"), F.sum("hn").alias("n"), *[F.sum(f"hs_{k}").alias(k) for k in KINDS]).first()
+    n = total["n"] or 0
+    both = cut(paths.join(hosts, "host"), "both")
+    shrink = {}
+    for k in KINDS:
+        base = F.lit((total[k] or 0.0) / max(1, n))
+        host = _strength(hosts.select(F.col("hn").alias("n"), F.col(f"hs_{k}").alias(f"s_{k}")), k, base, 1)
+        path = _strength(both, k, F.col(f"hs_{k}") / F.col("hn"), total["hosts"])
+        shrink[k] = (path, host)
+    return Priors(both, n, {k: total[k] or 0.0 for k in KINDS}, rates, shrink)
+
+
+def _judged(docs: DataFrame, classifier: Classifier, host_col: str, path_col: str, columns: list[str], results: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with three more, named ``results``. The evidence is written with those columns, so
+    each text is read by the classifiers once."""
+    group = [F.coalesce(quoted(c).cast("string"), F.lit("\0")).alias(name) for c, name in ((host_col, "host"), (path_col, "path"))]
+    # One struct for what passes through: its names cannot meet ours.
+    rows = cut(docs.select(F.struct(*[quoted(c) for c in columns]).alias("whole"), *group, _evidence(classifier, quoted("text")).alias("ev")), "evidence")
+    found = priors(rows.select("host", "path", "ev"), classifier)
+    groups = found.paths
+    rows = rows.join(F.broadcast(groups) if within(groups, BROADCAST_ROWS) else groups, ["host", "path"])
     known = {"toxic": bool(classifier.words), "low": classifier.weights is not None}
 
     def posterior(k: str) -> Column:
-        prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"__prior_{k}")))
-        return 1 / (1 + F.exp(-(F.col(f"__ev.{k}") + F.log(prior / (1 - prior))))) if known[k] and rates[k] else F.lit(0.0)
+        if not known[k] or not found.rates[k]:
+            return F.lit(0.0)
+        prior = found.without(k, chance(k, F.col("ev"), found.rates[k]))
+        prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), prior))
+        return 1 / (1 + F.exp(-(F.col("ev")[k] + F.log(prior / (1 - prior)))))
+
+    p = {k: posterior(k) for k in KINDS}
+    more = [p["toxic"], p["low"], (p["toxic"] <= 0.5) & (p["low"] <= 0.5)]
+    return rows.select(*[F.col("whole")[c].alias(c) for c in columns], *[m.alias(r) for m, r in zip(more, results, strict=True)])
+
+
+def score(docs: DataFrame, classifier: Classifier, host_col: str = "source", path_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all of them) with __p_toxic, __p_low and __keep."""
+    columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in RESULTS]
+    return _judged(docs, classifier, host_col, path_col, columns, list(RESULTS))
+
 
-    rows = rows.withColumns({f"__p_{k}": posterior(k) for k in KINDS})
-    return rows.withColumn("__keep", (F.col("__p_toxic") <= 0.5) & (F.col("__p_low") <= 0.5)).select(*[F.col(f"`{c}`") for c in columns], "__p_toxic", "__p_low", "__keep")
+def keep(docs: DataFrame, classifier: Classifier, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The documents that are not rejected, with their own columns."""
+    results = unused(docs, *RESULTS)
+    judged = _judged(docs, classifier, host_col, path_col, docs.columns, results)
+    return judged.filter(quoted(results[2])).select(*[quoted(c) for c in docs.columns])
