@@ -3,8 +3,14 @@
 A template is any function from a list of messages to a string. Successive turn prefixes are
 rendered; where each output extends the one before, the extension is the new turn's span. A
 template that rewrites what it has already put out (its output is no extension) is reported.
-A second rendering of each prefix, with a probe character for the turn's text, shows what the
-template puts before and after the text; the rest of the span is the text as it was written.
+A second rendering of each prefix, with a probe for the turn's text, shows what the template puts
+before and after the text; the rest of the span is the text as it was written.
+
+Prefixes of n turns cost the square of n. A template that says that it is ``additive`` (the output
+for two lists, one after the other, is that for the first and that for the second) is rendered in
+stretches of ``STRETCH`` turns, each with its own successive prefixes; whole prefixes, rendered
+where their length has doubled and at the end, must be what the stretches give, or else all
+prefixes are rendered after all.
 
 Rows go to partitions by conversation and are sorted there, then streamed; a task holds one
 conversation at a time, which is the unit that a template needs.
@@ -28,6 +34,8 @@ from pyspark.sql import types as T
 
 Message = tuple[str, str]  # role, text
 Template = Callable[[list[Message]], str]
+#: Turns that an additive template renders together.
+STRETCH = 16
 
 #: What the template writes to mark turns, and what other templates do; escaped inside texts.
 CONTROL = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -46,6 +54,8 @@ def turn_template(messages: list[Message]) -> str:
     return "".join([f"<|turn|>{escape(role)}<|text|>{escape(text)}<|end|>\n" for role, text in messages])
 
 
+turn_template.additive = True
+
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.S)
 
 
@@ -54,17 +64,45 @@ def read_back(formatted: str) -> list[Message]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def probe_for(*texts: str) -> str:
+    """A string of private-use characters that none of the texts holds, as short as can be."""
+    marks = [chr(c) for c in range(0xE000, 0xF900)]
+    if free := next((c for c in marks if not any(c in t for t in texts)), None):
+        return free
+    # A run of one character that is longer than any run of it.
+    longest = max((len(m[0]) for t in texts for m in re.finditer(marks[0] + "+", t)), default=0)
+    return marks[0] * (longest + 1)
+
+
 def locate(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The rendering, each turn's (start, text start, text end, end), and whether history was rewritten.
 
     Where it was, the spans of the turns so far are void and recorded as empty."""
+    if not getattr(template, "additive", False) or len(messages) <= STRETCH:
+        return _prefixes(messages, template)
+    parts, spans, at, check = [], [], 0, 2 * STRETCH
+    for k in range(0, len(messages), STRETCH):
+        part, found, rewritten = _prefixes(messages[k : k + STRETCH], template)
+        parts.append(part)
+        spans += [(a + at, b + at, c + at, d + at) for a, b, c, d in found]
+        at += len(part)
+        done = min(k + STRETCH, len(messages))
+        if done >= check or done == len(messages):
+            check = 2 * done
+            if rewritten or template(messages[:done]) != "".join(parts):
+                return _prefixes(messages, template)
+    return "".join(parts), spans, False
+
+
+def _prefixes(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     before, spans, rewritten = template([]), [], False
     done: list[Message] = []
     for role, text in messages:
-        probe = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in role and c not in before)
+        after = template([*done, (role, text)])
+        # Texts, roles and markup may hold anything.
+        probe = probe_for(role, before, after)
         marked = template([*done, (role, probe)])
         done.append((role, text))
-        after = template(done)
         start = len(before)
         if not after.startswith(before):
             rewritten = True
