@@ -18,7 +18,8 @@ segment costs one row, a text moves twice by its own id.
 Defined cases: words are runs of characters other than the six ASCII white space characters; null
 text has none; documents under ``LENGTH`` words keep all; rows without id neither lose words nor
 make others lose them; rows with one id are one document, each judged by its own text; an empty
-table gives an empty table; columns other than the two named are ignored.
+table gives an empty table; columns other than the two named are ignored; windows of over
+65,535 words, or seeds that are longer than a window, are an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from pyspark.sql import types as T
 from graphloom.llm.common import Rolling, WordHashes, cut, map_batches, mix
 
 LENGTH, SEED = 50, 16
+#: Bits of an offset or a count of windows inside a segment, which are below the window's length.
+BITS = 16
+LOW = (1 << BITS) - 1
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 NO_ID = -(1 << 63)
 
@@ -44,6 +48,8 @@ def words_of(text: str) -> list[str]:
 
 class Segmenter:
     def __init__(self, length: int, seed: int):
+        if not 1 <= seed <= length <= LOW:
+            raise ValueError(f"a window has {seed} (the seed) to {LOW} words")
         self.length, self.seed = length, seed
         self.hashes, self.rolling = WordHashes(), Rolling()
 
@@ -61,7 +67,7 @@ class Segmenter:
         count = np.diff(np.concatenate([first, [len(at)]]))
         offset = at[first] - first
         whole = self.rolling.runs(prefix, first, count + self.length - 1)
-        segment = mix(whole ^ mix((offset * 256 + count).astype(np.uint64)))
+        segment = mix(whole ^ mix((offset << BITS | count).astype(np.uint64)))
         return first, count, offset, grams[at[first]], segment, prefix
 
 
@@ -85,7 +91,7 @@ def segments(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 first, count, offset, anchor, segment, _ = found
                 out["id"].append(np.full(len(first), id_, np.int64))
                 out["version"].append(np.full(len(first), version, np.int64))
-                out["place"].append((first << 16 | offset << 8 | count).astype(np.int64))
+                out["place"].append((first << 2 * BITS | offset << BITS | count).astype(np.int64))
                 out["anchor"].append(_long(anchor))
                 out["segment"].append(_long(segment))
             return {k: np.concatenate(v) for k, v in out.items()} if out["id"] else None
@@ -108,9 +114,9 @@ def _windows(joined: DataFrame, length: int, seed: int) -> DataFrame:
                 first, _, _, anchor, _, prefix = cutter.of(words_of(text))
                 anchors = dict(zip(first.tolist(), anchor.tolist(), strict=True))
                 for place in places:
-                    at, offset, count = place >> 16, place >> 8 & 255, place & 255
+                    at, offset, count = place >> 2 * BITS, place >> BITS & LOW, place & LOW
                     start = np.arange(at, at + count)
-                    window = mix(cutter.rolling.runs(prefix, start, length) ^ mix((start - at - offset + 256).astype(np.uint64)))
+                    window = mix(cutter.rolling.runs(prefix, start, length) ^ mix((start - at - offset + (1 << BITS)).astype(np.uint64)))
                     out["anchor"].append(np.full(count, anchors[at], np.uint64).view(np.int64))
                     out["window"].append(_long(window))
                     out["id"].append(np.full(count, id_, np.int64))
@@ -124,13 +130,14 @@ def _windows(joined: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(id, version, runs): the windows to remove, as first << 8 | count, from (id, version, text)."""
-    found = segments(texts.filter(F.col("id") != NO_ID), length, seed)
+    """(id, version, runs): the windows to remove, as first << BITS | count, from (id, version, text)."""
+    # Two branches read the segments: written once, each text is cut up once.
+    found = cut(segments(texts.filter(F.col("id") != NO_ID), length, seed), "segments")
     anchors = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("segment") != F.max("segment")).alias("differ"))
     # Written first: the join then reads two plain exchanges, whose hot keys adaptive plans split.
     anchors = cut(anchors.filter("least < most").select("anchor", "least", "differ"), "anchors")
     shared = cut(found.join(anchors, "anchor").filter("differ or id > least"), "shared")
-    run = F.col("place").bitwiseAND(255) + F.shiftleft(F.shiftright("place", 16), 8)
+    run = F.col("place").bitwiseAND(LOW) + F.shiftleft(F.shiftright("place", 2 * BITS), BITS)
     alike = shared.filter("not differ").select("id", "version", run.alias("run"))
     mixed = shared.filter("differ")
     kinds = cut(mixed.groupBy("anchor", "segment").agg(F.min("id").alias("own")), "kinds")
@@ -141,12 +148,13 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
     windows = cut(_windows(joined.select("id", "version", "text", "places"), length, seed), "windows")
     least = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("anchor", "window", "least")
     least = cut(least, "least")
-    edges = windows.join(least, ["anchor", "window"]).filter("id > least").select("id", "version", (F.shiftleft("start", 8) + 1).alias("run"))
+    edges = windows.join(least, ["anchor", "window"]).filter("id > least").select("id", "version", (F.shiftleft("start", BITS) + 1).alias("run"))
     return alike.unionByName(later).unionByName(edges).groupBy("id", "version").agg(F.collect_list("run").alias("runs"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
     """n_words, n_removed and the digest of the kept words; with ``outputs`` the kept text itself."""
+    Segmenter(length, seed)
     body = F.coalesce(df[text_col].cast("string"), F.lit(""))
     texts = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("version"), body.alias("text"))
     joined = texts.join(repeats(texts, length, seed).hint("shuffle_hash"), ["id", "version"], "left")
@@ -163,8 +171,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, id_col
                 if runs:
                     change = np.zeros(n + 1, np.int64)
                     r = np.array(runs, np.int64)
-                    np.add.at(change, r >> 8, 1)
-                    np.add.at(change, (r >> 8) + (r & 255) + length - 1, -1)
+                    np.add.at(change, r >> BITS, 1)
+                    np.add.at(change, (r >> BITS) + (r & LOW) + length - 1, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = " ".join(words)
