@@ -2,40 +2,52 @@
 
 A text's letters become hashed counts of character 1- to 3-grams. One-versus-one linear support
 vector machines pick the language family, then others, trained within that family only, separate
-its languages. The models are fitted on the driver from a bounded sample: about ``per_lang``
-labelled texts of each language, chosen by a hash of the id (all of them where there are fewer).
+its languages. The models learn from a bounded sample: about ``per_lang`` labelled texts of each
+language, chosen by a hash of the id (all of them where there are fewer). Each pair's machine is
+trained by a task of its own, from the sampled texts of its two classes; only weights reach the driver.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is every
-text where nothing could be learned; a language whose family is not listed is a family of its
+Defined cases: null texts and texts without a letter (a character of the Unicode categories L) are
+``und`` with score 0, and so is every text where nothing could be learned; a language whose family is not listed is a family of its
 own; rows without id count as not held out; repeated rows give one row each; an empty table
 gives an empty table; columns other than the three named are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import map_batches, mix
+from graphloom.llm.common import cut, map_batches, mix
 
 #: Languages by family; a parameter of ``fit``.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
 PER_LANG, DIMS, ROUNDS, COST = 800, 2048, 300, 20.0
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Least change of a weight in a round that training goes on for.
+STILL = 1e-5
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def features(text: str, dims: int = DIMS) -> np.ndarray | None:
-    """Unit vector of damped n-gram counts over the whole text; None without a letter."""
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters:
+    """Unit vector of damped n-gram counts over the whole text, in lower case; what stands between letters
+    counts as one space. None without a letter."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = letters()[c]
+    if not letter.any():
         return None
-    c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    c = np.concatenate([[32], np.where(letter, c, 32), [32]]).astype(np.uint64)
+    c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
     two = c[:-1] * np.uint64(0x1F1F1F1F1) + c[1:]
     three = two[:-1] * np.uint64(0x1000193) + c[2:] + np.uint64(1 << 50)
     grams = np.concatenate([c[1:-1] + np.uint64(1 << 60), two, three])
@@ -46,16 +58,20 @@ def features(text: str, dims: int = DIMS) -> np.ndarray | None:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (the last one the bias) that minimise ridge plus mean squared hinge loss, by
-    accelerated gradient steps; classes weigh the same whatever their sizes."""
+    accelerated gradient steps until they stand still; classes weigh the same whatever their sizes."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * 10
     step = 1 / (1 + 2 * weight.sum() * 2)
-    w = v = np.zeros(x.shape[1])
+    x, y, weight = x.astype(np.float32), y.astype(np.float32), weight.astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * x.T @ (weight * slack * y))
-        w, v = new, new + t / (t + 3) * (new - w)
-    return w
+        new = v - np.float32(step) * (v - 2 * (weight * slack * y) @ x)
+        change = np.abs(new - w).max()
+        w, v = new, new + np.float32(t / (t + 3)) * (new - w)
+        if change < STILL:
+            break
+    return w.astype(float)
 
 
 @dataclass
@@ -87,19 +103,46 @@ class Model:
         return lang, p * q
 
 
-def train(langs: list[str], x: np.ndarray, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+def tree_of(langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> dict[str, list[str]]:
+    """family -> its languages, of those that were seen."""
     known = {lang: "family:" + name for name, members in families.items() for lang in members}
-    of = {lang: known.get(lang, "family:only-" + lang) for lang in set(langs)}
     tree: dict[str, list[str]] = {}
-    for lang in sorted(of):
-        tree.setdefault(of[lang], []).append(lang)
-    labels, groups = np.array(langs, object), np.array([of[v] for v in langs], object)
-    pairs = {}
-    for names, at in [(sorted(tree), groups), *((members, labels) for members in tree.values())]:
-        for a, b in combinations(names, 2):
-            rows = (at == a) | (at == b)
-            pairs[a, b] = linear_svm(x[rows], np.where(at[rows] == a, 1.0, -1.0))
-    return Model(tree, pairs)
+    for lang in sorted(set(langs)):
+        tree.setdefault(known.get(lang, "family:only-" + lang), []).append(lang)
+    return tree
+
+
+def pairs_of(tree: dict[str, list[str]]) -> dict[str, list[tuple[str, str, bool]]]:
+    """Of each language, the machines (first class, second class) that learn from its texts, and whether
+    they are of the first."""
+    out: dict[str, list[tuple[str, str, bool]]] = {}
+    for family, members in tree.items():
+        for lang in members:
+            for own, names in ((family, sorted(tree)), (lang, members)):
+                for other in names:
+                    if other != own:
+                        a, b = sorted((own, other))
+                        out.setdefault(lang, []).append((a, b, own == a))
+    return out
+
+
+def train(rows: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+    """The model of (lang, x) rows, x the bytes of a feature vector."""
+    tree = tree_of([r["lang"] for r in rows.select("lang").distinct().collect()], families)
+    pairs = [(lang, a, b, first) for lang, of in pairs_of(tree).items() for a, b, first in of]
+    if not pairs:
+        return Model(tree, {})
+    plan = F.broadcast(rows.sparkSession.createDataFrame(pairs, "lang string, a string, b string, first boolean"))
+
+    def fit_pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        # One order, whatever the partitions: sums of floats depend on it.
+        pdf = pdf.sort_values(["first", "x"])
+        x = np.stack([np.frombuffer(v, np.float32) for v in pdf.x])
+        w = linear_svm(x, np.where(pdf["first"], 1.0, -1.0))
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "w": [w.tolist()]})
+
+    fitted = rows.join(plan, "lang").groupBy("a", "b").applyInPandas(fit_pair, "a string, b string, w array<double>")
+    return Model(tree, {(r["a"], r["b"]): np.array(r["w"]) for r in fitted.collect()})
 
 
 def held_out(id_col: Column) -> Column:
@@ -127,11 +170,8 @@ def fit(df: DataFrame, per_lang: int = PER_LANG, families: dict[str, tuple[str,
 
         return step
 
-    found = map_batches(chosen, make, T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])).collect()
-    found.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    if not found:
-        return Model({}, {})
-    return train([r["lang"] for r in found], np.stack([np.frombuffer(r["x"], np.float32) for r in found]), families)
+    found = map_batches(chosen, make, T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())]))
+    return train(cut(found, "features"), families)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
