@@ -6,42 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, ngram_join, quality, secret_scan, sentencepiece_codec
-from graphloom.llm.common import cut, load, text_of
+from graphloom.llm.common import cut, load, quoted, text_of, unused
 from graphloom.llm.queries import MODEL
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scored = quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
-    return scored.filter("__keep").select(*[scored[c] for c in docs.columns])
+    """Documents that the quality classifier does not reject; a null or empty text is judged as one without
+    words; repeated rows are judged alike."""
+    return quality.keep(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the least id, of each group of near copies; one row of repeated rows."""
-    found = ngram_join.ngram_join(docs)
-    stay = cut(found.filter("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")), "stay")
-    repeated = not stay.filter("__id is not null").groupBy("__id").count().filter("count > 1").isEmpty()
-    rows = docs.withColumn("__version", F.xxhash64(text_of(docs)))
-    once = stay.groupBy("__id").agg(F.min("__version").alias("__version")).filter("__id is not null")
-    match = (rows["doc_id"] == once["__id"]) & (rows["__version"] == once["__version"])
-    kept = rows.join(once.hint("shuffle_hash"), match, "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(rows.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near copies: the one of least id, and of that id's texts in the group the
+    one of least version; repeated rows of it are one. Of an id with unrelated texts each text stays.
+    Rows without id and texts without words are in no group: the former all stay, of the latter one
+    row of each id and text."""
+    found = ngram_join.ngram_join(docs).filter("doc_id is not null and doc_id = class_id and version = class_version")
+    id_, version = unused(docs, "id", "version")
+    stay = found.select(F.col("doc_id").alias(id_), F.col("version").alias(version)).groupBy(id_, version).agg(F.count("*").alias("n"))
+    stay = cut(stay, "stay")
+    rows = docs.withColumns({id_: quoted("doc_id").cast("long"), version: F.xxhash64(text_of(docs))})
+    kept = rows.join(stay.select(id_, version).hint("shuffle_hash"), [id_, version], "left_semi")
+    if not stay.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_, version])
+    columns = [quoted(c) for c in docs.columns]
+    return kept.select(*columns).unionByName(rows.filter(F.col(id_).isNull()).select(*columns))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; a null or empty text leaks none."""
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; distinct texts with a finding only are rewritten, through the ledger."""
+    """All documents, secrets masked through the ledger; null texts stay null."""
     return secret_scan.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and round-trip digests of what is left."""
+    """Ids and round-trip digests of what is left; a null text counts as the empty one."""
     return sentencepiece_codec.encode_decode(docs, MODEL, outputs=False)
 
 
