@@ -2,9 +2,10 @@
 
 No piece of the model holds a whitespace marker after another character, so no merge crosses the
 place where a run of markers begins: each chunk (markers, then the characters up to the next
-marker) is segmented by itself. A task keeps a bounded table of the distinct chunks that it has
-met, has the library segment a chunk once, and joins counts, ids and decoded forms back by
-position. Rows never leave their partition, so there is no shuffle and no skew.
+marker) is segmented by itself. A task takes its texts in stretches, collects the distinct chunks
+of a stretch, has the library segment those that its table does not hold yet in one call, and
+joins counts, ids and decoded forms back by position. The table is kept from stretch to stretch,
+within a bound. Rows never leave their partition, so there is no shuffle and no skew.
 
 Defined cases: null text is the empty text; the empty text has no ids and decodes to the empty
 text; repeated rows and ties give one row each; an empty table gives an empty table; columns other
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -25,8 +28,8 @@ from graphloom.llm.common import map_batches, text_of
 
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
-#: Chunks kept by a task, and the longest chunk that is kept.
-TABLE_ROWS, TABLE_CHARS = 150_000, 64
+#: Chunks that a task's table keeps between stretches, the longest chunk kept, and characters of a stretch.
+TABLE_ROWS, TABLE_CHARS, STRETCH = 400_000, 64, 2_000_000
 
 
 def separable(processor: sentencepiece.SentencePieceProcessor) -> bool:
@@ -45,25 +48,50 @@ class ChunkTable(dict):
         # A marker that ends a text is a chunk by itself, which no text of its own encodes to.
         self.lone = self.processor.encode("a ")[len(self.processor.encode("a")) :]
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
+    def add(self, chunks: list[str]) -> None:
+        """Segments those chunks that the table lacks."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self]
         # The library puts back the one leading space, its dummy prefix; decoding takes it away.
-        ids = self.processor.encode(chunk[1:]) if len(chunk) > 1 else self.lone
-        row = (len(ids), ",".join(map(str, ids)), " " + self.processor.decode(ids))
-        if len(self) >= TABLE_ROWS:
+        ids = self.processor.encode([c[1:] for c in new], num_threads=1)
+        ids = [self.lone if len(c) == 1 else x for c, x in zip(new, ids, strict=True)]
+        for c, x, decoded in zip(new, ids, self.processor.decode(ids, num_threads=1) if ids else (), strict=True):
+            self[c] = (len(x), ",".join(map(str, x)), " " + decoded)
+
+    def stretch(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, ids joined by commas and decoded form of each text."""
+        texts = [t.replace(MARK, " ") for t in texts]
+        # A text of markers only is one chunk, without the space that chunks begin with.
+        split = [[] if not t.strip(" ") else CHUNK.findall(" " + t) for t in texts]
+        if len(self) > TABLE_ROWS:
             self.clear()
-        if len(chunk) <= TABLE_CHARS:
-            self[chunk] = row
-        return row
+        self.add(list(chain.from_iterable(split)))
+        out = []
+        for text, chunks in zip(texts, split, strict=True):
+            if chunks:
+                n, ids, decoded = zip(*map(self.__getitem__, chunks), strict=True)
+                out.append((sum(n), ",".join(ids if 0 not in n else filter(None, ids)), "".join(decoded)[1:]))
+            else:
+                ids = self.processor.encode(text)
+                out.append((len(ids), ",".join(map(str, ids)), self.processor.decode(ids) if ids else ""))
+        for c in {c for chunks in split for c in chunks if len(c) > TABLE_CHARS}:
+            del self[c]
+        return out
 
     def encode_decode(self, text: str) -> tuple[int, str, str]:
-        if not text:
-            return 0, "", ""
-        text = text.replace(MARK, " ")
-        if text.isspace() and not text.strip(" "):  # markers only: one chunk
-            ids = self.processor.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.processor.decode(ids)
-        rows = [self[c] for c in CHUNK.findall(" " + text)]
-        return sum(r[0] for r in rows), ",".join([r[1] for r in rows if r[0]]), "".join([r[2] for r in rows])[1:]
+        return self.stretch([text])[0]
+
+
+def _stretches(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of ``STRETCH`` characters, or one longer text."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > STRETCH:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
@@ -78,8 +106,8 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         def step(batch):
             out = {f.name: [] for f in fields}
             out[id_col] = batch.column(0)
-            for text in batch.column(1).to_pylist():
-                n, ids, decoded = table.encode_decode(text)
+            rows = (row for part in _stretches(batch.column(1).to_pylist()) for row in table.stretch(part))
+            for n, ids, decoded in rows:
                 out["n_tokens"].append(n)
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
