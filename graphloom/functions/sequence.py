@@ -5,6 +5,8 @@ Nulls give null unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +33,44 @@ def oriented(seq: Column, orn: Column) -> Column:
     return F.when(orn == "-", reverse_complement(seq)).otherwise(seq)
 
 
+def reverse_complement_as_is(seq: Column) -> Column:
+    """Of the sequence in the case it has; ``*`` stays ``*``."""
+    return F.when(seq == "*", seq).otherwise(F.reverse(F.translate(seq, IUPAC, COMPLEMENT)))
+
+
+def oriented_name(name: Column, orn: Column) -> Column:
+    """``name|orn``, the text form of an oriented segment."""
+    return F.concat_ws("|", name, orn)
+
+
+def overlap_of(a: str | bytes, b: str | bytes) -> int:
+    """Length of the longest suffix of ``a`` that is a prefix of ``b``.
+
+    Short texts are tried from the longest down; long ones by hashes of all prefixes and suffixes at once,
+    so that the time grows with the length and not with its square; the texts themselves decide."""
+    n = min(len(a), len(b))
+    if n <= 64:
+        return next((k for k in range(n, 0, -1) if a.endswith(b[:k])), 0)
+    a, b = a[-n:], b[:n]
+    x, y = (np.frombuffer(t if isinstance(t, bytes) else t.encode("utf-32-le"), "u1" if isinstance(t, bytes) else "<u4").astype(np.uint64) for t in (a, b))
+    base = 0x9E3779B97F4A7C15
+    up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))]).astype(np.uint64)
+    head = np.cumsum(y * up)  # of the first 1 to n letters of b
+    tail = np.cumsum((x * up)[::-1])  # of the last 1 to n letters of a, times base ** (n - k)
+    for k in (np.flatnonzero(tail == head * up[::-1]) + 1)[::-1].tolist():
+        if a[n - k :] == b[:k]:
+            return k
+    return 0
+
+
 def overlap_length(a: Column, b: Column) -> Column:
     """Length of the longest suffix of ``a`` that is a prefix of ``b``; 0 where either is empty."""
-    most = F.least(F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: (i <= most) & (F.right(a, i) == F.left(b, i)))
-    return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))
+
+    @F.pandas_udf("int")
+    def run(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else overlap_of(x, y) for x, y in zip(first, second, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def cigar_overlap(cigar: Column) -> Column:
@@ -88,9 +123,28 @@ def sanitise(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x{80}-\\x{ff}]", "?")
 
 
-def pack_code(high: Column, low: Column) -> Column:
-    """Two codec numbers in one: high byte and low byte."""
-    return F.shiftleft(high.cast("int"), 8).bitwiseOR(low.cast("int"))
+def pack_code(*numbers: Column) -> Column:
+    """Codec numbers in one: a byte each, the first the highest (two of them, or four)."""
+    out = F.lit(0).cast("bigint")
+    for n in numbers:
+        out = F.shiftleft(out, 8).bitwiseOR(n.cast("bigint"))
+    return out
+
+
+def unpack_code(code: Column, n: int = 2) -> Column:
+    """array<bigint>: the ``n`` codec numbers in a code, the highest byte first."""
+    return F.array(*[F.shiftright(code.cast("bigint"), 8 * k).bitwiseAND(255) for k in reversed(range(n))])
+
+
+def tag_value(type_: Column, value: Column) -> Column:
+    """struct<valid, text, whole, real>: whether the value fits its type, and the value as the type has it."""
+    ok = tag_valid(type_, value)
+    return F.struct(ok.alias("valid"), F.when(ok, value).alias("text"), F.when(ok & (type_ == "i"), value.try_cast("bigint")).alias("whole"), F.when(ok & (type_ == "f"), value.try_cast("double")).alias("real"))
+
+
+def walk_length(start: Column, end: Column) -> Column:
+    """End minus start; null where either is unknown."""
+    return end - start
 
 
 def pansn(sample: Column, hap: Column, seq: Column, start: Column, end: Column) -> Column:

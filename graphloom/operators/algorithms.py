@@ -6,6 +6,9 @@ but for ``dfs_edges``, whose result is an order that only one walker can make.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +44,10 @@ def component_edges(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        # Written first, so that both sides of the joins are plain exchanges, in which hubs can be split.
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large = cut(both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        low = cut(large.groupBy("x").agg(F.min("y").alias("m")), "low")
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
         now = cut(small.distinct(), "stars")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
@@ -60,21 +64,18 @@ def components(g: Graph) -> DataFrame:
 
 
 def component_of(g: Graph, node: str) -> DataFrame:
-    """The nodes of one node's component, by breadth-first search; none where the node is unknown."""
-    if g.segments.filter(F.col("name") == node).isEmpty():
-        return g.segments.filter("false").select(F.col("name").alias("node"))
-    seen = front = cut(g.segments.filter(F.col("name") == node).select(F.col("name").alias("node")).distinct(), "front")
-    hops = both_ways(g.links)
-    while True:
-        step = hops.join(front, "node", "left_semi").select(F.col("other").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
+    """The nodes of one node's component; none where the node is unknown.
+
+    Read off all components, which take as many rounds as the logarithm of a path, not a job a hop."""
+    found = cut(components(g), "components")
+    mine = found.filter(F.col("node") == node).select("component").distinct()
+    return found.join(F.broadcast(mine), "component", "left_semi").select("node")
 
 
-def simple_paths(links: DataFrame, source: str, target: str, cutoff: int, keep: Column | None = None, undirected: bool = False) -> DataFrame:
-    """(nodes, eids): all simple paths of at most ``cutoff`` links, parallel links apart; ``keep`` selects links."""
+def simple_paths(links: DataFrame, source: str, target: str, cutoff: int, keep: Column | None = None, undirected: bool = False, edges: bool = False) -> DataFrame:
+    """(nodes, eids): all simple paths of at most ``cutoff`` links, parallel links apart; ``keep`` selects links.
+
+    With ``edges`` a row has the path's links instead: array<struct<from_node, to_node, eid>>."""
     links = links if keep is None else links.filter(keep)
     hop = links.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), "eid")
     if undirected:
@@ -88,13 +89,17 @@ def simple_paths(links: DataFrame, source: str, target: str, cutoff: int, keep:
         step = front.join(hop, F.col("at") == F.col("u")).filter(~F.array_contains("nodes", F.col("v")))
         front = step.select(F.concat("nodes", F.array("v")).alias("nodes"), F.concat("eids", F.array("eid")).alias("eids"), F.col("v").alias("at"))
         found = found.union(front.filter(F.col("at") == target))
+    if edges:
+        return found.select(F.transform("eids", lambda e, i: F.struct(F.get("nodes", i).alias("from_node"), F.get("nodes", i + 1).alias("to_node"), e.alias("eid"))).alias("links"))
     return found.select("nodes", "eids")
 
 
-def dfs_edges(g: Graph, source: str | None = None) -> DataFrame:
-    """(component, position, u, v, eid): tree edges in depth-first preorder, neighbours by name.
+def dfs_edges(g: Graph, source: str | None = None, keep: Column | None = None) -> DataFrame:
+    """(component, position, u, v, eid): tree edges in depth-first preorder, neighbours by name; ``keep``
+    selects the links that there are.
 
     One walker a component, which holds that component's edges."""
+    g = g if keep is None else replace(g, links=g.links.filter(keep))
     links = g.links.select("eid", F.col("from_node").alias("u"), F.col("to_node").alias("v"))
     rows = links.join(components(g).select(F.col("node").alias("u"), "component"), "u")
     if source is not None:
@@ -175,16 +180,41 @@ def compact(g: Graph) -> tuple[DataFrame, DataFrame]:
 
     A merged sequence is unknown (``*``) where a part of it or an overlap is; ``members`` lists the merged
     names in order. Other links keep id and tags and are re-pointed, flipped where the segment was."""
-    merge = cut(unary_links(g.links), "merge")
+    pieces, rest, links = compact_pieces(g)
+    merged = pieces.groupBy("kept").agg(F.array_sort(F.collect_list(F.struct("position", "name", "piece"))).alias("ps"), F.count("*").alias("n"), F.count("length").alias("known"), F.sum("length").alias("total"))
+    whole = F.when(F.exists("ps", lambda p: p["piece"].isNull()), F.lit("*")).otherwise(F.array_join(F.transform("ps", lambda p: p["piece"]), ""))
+    merged = merged.select(F.col("kept").alias("name"), whole.alias("sequence"), F.when(F.col("n") == F.col("known"), F.col("total")).alias("slen"), F.transform("ps", lambda p: p["name"]).alias("members"))
+    return rest.select("name", "sequence", "slen", F.array("name").alias("members")).unionByName(merged), links
+
+
+def compact_pieces(g: Graph, merge: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces, other segments, links) of the compaction: a row for each merged segment, so that a chain of
+    any length stays many rows: kept, position, name, orn, piece (its letters behind the overlap; null
+    where they are unknown) and length. ``merge`` says which links to merge, all unary ones where not."""
+    source = replace(g, segments=cut(g.segments.select("ord", "name", "sequence", "slen"), "segments"), links=cut(g.links, "links"))
+    merge = cut(unary_links(source.links) if merge is None else merge, "merge")
+    return _pieces(source, merge)
+
+
+def compact_by_edges(g: Graph, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, links) with the wanted links (column ``eid``) merged, of those that are unary; segments have
+    the tag ``fu``: the merged names with their orientations, in order."""
+    links = cut(g.links, "links")
+    merge = unary_links(links).join(wanted.select("eid").distinct(), "eid", "left_semi")
+    pieces, rest, links = compact_pieces(replace(g, links=links), merge.select(*g.links.columns, "from_side", "to_side"))
+    made = pieces.groupBy("kept").agg(F.array_sort(F.collect_list(F.struct("position", "name", "orn", "piece"))).alias("ps"), F.count("*").alias("n"), F.count("length").alias("known"), F.sum("length").alias("total"))
+    whole = F.when(F.exists("ps", lambda p: p["piece"].isNull()), F.lit("*")).otherwise(F.array_join(F.transform("ps", lambda p: p["piece"]), ""))
+    made = made.select(F.col("kept").alias("name"), whole.alias("sequence"), F.when(F.col("n") == F.col("known"), F.col("total")).alias("slen"), F.array_join(F.transform("ps", lambda p: F.concat(p["name"], p["orn"])), ",").alias("fu"))
+    return rest.select("name", "sequence", "slen", F.lit(None).cast("string").alias("fu")).unionByName(made), links
+
+
+def _pieces(g: Graph, merge: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chain = cut(chains(g, merge), "chains")
     part = chain.join(g.segments.select("name", "sequence", "slen"), "name")
     trimmed = F.when((F.col("sequence") == "*") | ((F.col("position") > 0) & F.col("overlap").isNull()), None).otherwise(F.substring(oriented(F.col("sequence"), F.col("orn")), F.coalesce(F.when(F.col("position") > 0, F.col("overlap")), F.lit(0)) + 1, F.length("sequence")))
     length = F.col("slen") - F.when(F.col("position") > 0, F.col("overlap")).otherwise(0)
-    part = part.select("kept", F.struct("position", "name", trimmed.alias("piece")).alias("p"), length.alias("length"))
-    merged = part.groupBy("kept").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.count("*").alias("n"), F.count("length").alias("known"), F.sum("length").alias("total"))
-    whole = F.when(F.exists("ps", lambda p: p["piece"].isNull()), F.lit("*")).otherwise(F.array_join(F.transform("ps", lambda p: p["piece"]), ""))
-    merged = merged.select(F.col("kept").alias("name"), whole.alias("sequence"), F.when(F.col("n") == F.col("known"), F.col("total")).alias("slen"), F.transform("ps", lambda p: p["name"]).alias("members"))
-    rest = g.segments.join(chain.select("name"), "name", "left_anti").select("name", "sequence", "slen", F.array("name").alias("members"))
+    pieces = part.select("kept", "position", "name", "orn", trimmed.alias("piece"), length.alias("length"))
+    rest = g.segments.join(chain.select("name"), "name", "left_anti")
     inside = chain.select("name", "kept", "orn")
     gone = merge.select("ord", "from_node", "to_node", "from_side", "to_side").join(inside.select(F.col("name").alias("from_node")), "from_node", "left_semi").select("ord", "from_node", "to_node")
     links = g.links.join(gone, ["ord", "from_node", "to_node"], "left_anti").select(g.links.columns)
@@ -193,23 +223,131 @@ def compact(g: Graph) -> tuple[DataFrame, DataFrame]:
         links = links.join(at, f"{end}_node", "left")
         links = links.withColumn(f"{end}_orn", F.when(F.col("__orn") == "-", flip(F.col(f"{end}_orn"))).otherwise(F.col(f"{end}_orn")))
         links = links.withColumn(f"{end}_node", F.coalesce("__kept", f"{end}_node")).drop("__kept", "__orn")
-    return rest.unionByName(merged), links.select(g.links.columns)
+    return pieces, rest, links.select(g.links.columns)
 
 
 def colours(g: Graph, rounds: int = 3) -> DataFrame:
     """(colour, n): how many nodes have each colour after Weisfeiler-Lehman rounds over sequence, length,
     orientations and alignments. Isomorphic graphs have equal tables; different tables prove a difference."""
+    now = node_colours(g, rounds)
+    return now.groupBy("colour").agg(F.count("*").alias("n"))
+
+
+def may_be_isomorphic(a: Graph, b: Graph, rounds: int = 3) -> bool:
+    x, y = colours(a, rounds), colours(b, rounds)
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+
+
+def node_colours(g: Graph, rounds: int) -> DataFrame:
+    """(node, colour) after the rounds."""
     now = cut(g.segments.select(F.col("name").alias("node"), F.xxhash64("sequence", "slen").alias("colour")), "colours")
-    links = g.links.select("from_node", "to_node", "from_orn", "to_orn", "alignment")
+    links = cut(g.links.select("from_node", "to_node", "from_orn", "to_orn", "alignment"), "links")
     for _ in range(rounds):
         a = links.join(now.withColumnRenamed("node", "to_node"), "to_node").select(F.col("from_node").alias("node"), F.xxhash64(F.lit("out"), "from_orn", "to_orn", "alignment", "colour").alias("x"))
         b = links.join(now.withColumnRenamed("node", "from_node"), "from_node").select(F.col("to_node").alias("node"), F.xxhash64(F.lit("in"), "from_orn", "to_orn", "alignment", "colour").alias("x"))
         # A sum of hashes stands for the multiset: it aggregates partially, whatever the degree.
         around = a.union(b).groupBy("node").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("around"), F.count("*").alias("n"))
         now = cut(now.join(around, "node", "left").select("node", F.xxhash64("colour", F.coalesce("around", F.lit(0)).cast("string"), F.coalesce("n", F.lit(0))).alias("colour")), "colours")
-    return now.groupBy("colour").agg(F.count("*").alias("n"))
-
-
-def may_be_isomorphic(a: Graph, b: Graph, rounds: int = 3) -> bool:
-    x, y = colours(a, rounds), colours(b, rounds)
-    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+    return now
+
+
+#: Components of a size up to this are compared by search; names decide in larger ones only where colours do.
+SEARCH_NODES = 10_000
+
+
+def isomorphic(a: Graph, b: Graph, rounds: int = 6) -> bool:
+    """Whether some renaming of segments makes the graphs equal (sequences, lengths, links with orientations and
+    alignments).
+
+    Components are matched by the multiset of their nodes' colours; those that agree are then compared
+    exactly, by search within colours, a pair of components a task. Raises where a component has over
+    ``SEARCH_NODES`` nodes and colours do not tell all of its nodes apart."""
+    if not may_be_isomorphic(a, b, rounds):
+        return False
+    shapes = []
+    for side, g in (("a", a), ("b", b)):
+        where = cut(components(g).join(node_colours(g, rounds), "node"), "coloured")
+        key = where.groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("colour").alias("kinds"), F.sum(F.col("colour").cast("decimal(38,0)")).cast("string").alias("shape"))
+        if not key.filter((F.col("n") > SEARCH_NODES) & (F.col("kinds") < F.col("n"))).isEmpty():
+            raise ValueError("a component is too large and too regular for an exact comparison")
+        nodes = where.join(key.select("component", "shape"), "component").select("shape", "component", F.lit("n").alias("t"), F.col("node").alias("u"), F.lit("").alias("v"), F.col("colour").cast("string").alias("x"))
+        place = where.select(F.col("node").alias("from_node"), "component").join(key.select("component", "shape"), "component")
+        edges = g.links.select("from_node", "to_node", "from_orn", "to_orn", F.coalesce("alignment", F.lit("*")).alias("alignment")).join(place, "from_node")
+        edges = edges.select("shape", "component", F.lit("e").alias("t"), F.col("from_node").alias("u"), F.col("to_node").alias("v"), F.concat_ws("\t", "from_orn", "to_orn", "alignment").alias("x"))
+        each = nodes.unionByName(edges).groupBy("shape", "component").agg(F.array_sort(F.collect_list(F.struct("t", "u", "v", "x"))).alias("rows"))
+        shapes.append(cut(each.withColumn("side", F.lit(side)), "shapes"))
+
+    def classes(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """How many components of each side fall in each class of truly equal ones."""
+        found: list[tuple[list, dict[str, int]]] = []
+        for rows, side in zip(pdf["rows"], pdf["side"], strict=True):
+            one = [(r["t"], r["u"], r["v"], r["x"]) for r in rows]
+            same = next((c for r, c in found if _same_shape(r, one)), None)
+            if same is None:
+                same = {"a": 0, "b": 0}
+                found.append((one, same))
+            same[side] += 1
+        return pd.DataFrame({"differ": [any(c["a"] != c["b"] for _, c in found)]})
+
+    return shapes[0].unionByName(shapes[1]).groupBy("shape").applyInPandas(classes, "differ boolean").filter("differ").isEmpty()
+
+
+def _same_shape(a: list[tuple], b: list[tuple]) -> bool:
+    """Whether a renaming of nodes makes two small coloured graphs equal: search over nodes in the order in
+    which links reach them, candidates of equal colour only."""
+    if len(a) != len(b):
+        return False
+    colour = [{u: x for t, u, _, x in rows if t == "n"} for rows in (a, b)]
+    links = [Counter((u, v, x) for t, u, v, x in rows if t == "e") for rows in (a, b)]
+    if sorted(colour[0].values()) != sorted(colour[1].values()):
+        return False
+    near: list[dict[str, set[str]]] = [{u: set() for u in c} for c in colour]
+    of: list[dict[str, list]] = [{u: [] for u in c} for c in colour]
+    for k in (0, 1):
+        for (u, v, x), n in links[k].items():
+            near[k][u].add(v)
+            near[k][v].add(u)
+            of[k][u].append((u, v, x, n))
+            if u != v:
+                of[k][v].append((u, v, x, n))
+    rare = Counter(colour[0].values())
+    order, seen = [], set()
+    for start in sorted(colour[0], key=lambda u: (rare[colour[0][u]], u)):
+        queue = [] if start in seen else [start]
+        seen.update(queue)
+        for u in queue:
+            order.append(u)
+            new = sorted(near[0][u] - seen)
+            seen.update(new)
+            queue.extend(new)
+    by_colour: dict[str, list[str]] = {}
+    for w, c in colour[1].items():
+        by_colour.setdefault(c, []).append(w)
+    to: dict[str, str] = {}
+    used: set[str] = set()
+
+    def fits(u: str, w: str) -> bool:
+        to[u] = w
+        good = all(links[1][to[p], to[q], x] == n for p, q, x, n in of[0][u] if p in to and q in to)
+        good = good and sum(n for p, q, _, n in of[0][u] if p in to and q in to) == sum(n for p, q, _, n in of[1][w] if (p in used or p == w) and (q in used or q == w))
+        del to[u]
+        return good
+
+    tries = [iter(by_colour[colour[0][order[0]]])] if order else []
+    while tries:
+        u = order[len(tries) - 1]
+        if u in to:  # back from a dead end
+            used.discard(to.pop(u))
+        w = next((w for w in tries[-1] if w not in used and fits(u, w)), None)
+        if w is None:
+            tries.pop()
+            continue
+        to[u] = w
+        used.add(w)
+        if len(to) == len(order):
+            return True
+        u = order[len(tries)]
+        known = next((p for p in near[0][u] if p in to), None)
+        choice = near[1][to[known]] if known is not None else by_colour[colour[0][u]]
+        tries.append(iter([w for w in sorted(choice) if colour[1][w] == colour[0][u]]))
+    return not order

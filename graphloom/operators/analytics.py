@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,8 +42,12 @@ def path_depth(paths: DataFrame) -> DataFrame:
 
 
 def characterise(g: Graph) -> DataFrame:
-    """One row with every figure above and the counts."""
-    return reduce(DataFrame.crossJoin, [counts(g), sequence_stats(g.segments), alphabet(g), cigar_stats(g.links), path_depth(g.paths)])
+    """One row with every figure above and the counts. The columns that they read are written once, so a
+    graph that is costly to derive is derived once."""
+    segments, links = cut(g.segments.select("name", "sequence"), "segments"), cut(g.links.select("eid", "alignment"), "links")
+    paths, walks = cut(g.paths.select("path_name", "steps"), "paths"), g.walks
+    lean = replace(g, segments=segments, links=links, paths=paths, walks=walks)
+    return reduce(DataFrame.crossJoin, [counts(lean), sequence_stats(segments), alphabet(lean), cigar_stats(links), path_depth(paths)])
 
 
 def _lists(by: str, order: str) -> Window:
