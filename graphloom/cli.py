@@ -1,7 +1,9 @@
 """Command line: ``python -m graphloom.cli COMMAND …``.
 
 encode text into a block file, cat a block file as canonical text, measure, validate or dump one,
-canonical (text to canonical text), characterise a graph, or list the encodings.
+canonical (text to canonical text), characterise a graph, pretty (a readable listing), same (whether two
+graphs are equal, or equal but for names), rank (the best codecs of measurement CSV files), or list the
+encodings.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import tomllib
 from pyspark.sql import functions as F
 
 from graphloom.functions import codecs
-from graphloom.operators import analytics
+from graphloom.operators import algorithms, analytics, graph, reports
 from graphloom.session import session
 from graphloom.sources import block_file, gfa_text, graph_file
 
@@ -43,6 +45,17 @@ def parser() -> argparse.ArgumentParser:
     measure.add_argument("--encode-time-ms", type=float, default=0.0)
     for name, text in (("validate", "check each block and field; fails where one is wrong"), ("dump", "the decoded tables as JSON lines")):
         sub.add_parser(name, help=text).add_argument("input")
+    sub.add_parser("pretty", help="counts and every element, to be read").add_argument("input")
+    same = sub.add_parser("same", help="whether two graphs are equal but for the names of segments; fails where not")
+    same.add_argument("first")
+    same.add_argument("second")
+    same.add_argument("--strict", action="store_true", help="names count too")
+    rank = sub.add_parser("rank", help="the best codecs of each option")
+    rank.add_argument("inputs", nargs="+", help="CSV files of measurements")
+    rank.add_argument("--mode", choices=reports.MODES, default="balanced")
+    rank.add_argument("--top", type=int, default=5)
+    rank.add_argument("--by", help="a characteristic to rank within the quartiles of")
+    rank.add_argument("--format", choices=("text", "markdown", "json"), default="text")
     sub.add_parser("encodings", help="every pair of codecs with its code")
     return p
 
@@ -78,6 +91,24 @@ def main(argv: list[str] | None = None) -> int:
         _text(block_file.read(spark, a.input), a.output)
     elif a.command == "canonical":
         _text(graph_file.load(spark, a.input), a.output)
+    elif a.command == "pretty":
+        for line in reports.pretty(graph_file.load(spark, a.input)):
+            print(line)
+    elif a.command == "same":
+        x, y = (graph_file.load(spark, p) for p in (a.first, a.second))
+        equal = graph.equal(x, y) if a.strict else algorithms.isomorphic(x, y)
+        print("equal" if equal else "different")
+        return int(not equal)
+    elif a.command == "rank":
+        stats = reports.read_stats(spark, *a.inputs)
+        if a.by:
+            rows = reports.by_characteristic(stats, a.by, a.mode, a.top)
+            for bucket in ("q1", "q2", "q3", "q4", "all"):
+                part = rows.filter(F.col("bucket") == bucket)
+                if not part.isEmpty():
+                    print(f"{a.by} {bucket}\n{reports.report(part, a.format)}")
+        else:
+            print(reports.report(reports.chosen(stats, a.mode, a.top), a.format))
     elif a.command == "characterise":
         print(analytics.characterise(graph_file.load(spark, a.input)).toJSON().first())
     elif a.command == "measure":

@@ -799,6 +799,28 @@ def decoded(data: Column, n: Column, codec: str) -> Column:
     return run(data, n)
 
 
+def encoded_strings(values: Column, strategy: str) -> Column:
+    """binary of an array<string> column, by a strategy's name."""
+    code = code_of(strategy)
+
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: None if v is None else encode_strings(list(v), code))
+
+    return run(values)
+
+
+def decoded_strings(data: Column, n: Column, strategy: str) -> Column:
+    """array<string> of a binary column and the numbers of strings."""
+    code = code_of(strategy)
+
+    @F.pandas_udf("array<string>")
+    def run(blobs: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else decode_strings(bytes(b), int(k), code) for b, k in zip(blobs, counts, strict=True)], dtype=object)
+
+    return run(data, n)
+
+
 def by_name(codec: str) -> tuple[Encode, Decode]:
     """What tasks look codecs up with: they get the name, not the functions."""
     return INTEGERS[codec]

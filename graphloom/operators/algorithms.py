@@ -106,7 +106,7 @@ def dfs_edges(g: Graph, source: str | None = None, keep: Column | None = None) -
         at = component_of(g, source).agg(F.min("node").alias("component"))
         rows = rows.join(at, "component", "left_semi")
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[tuple[str, str]]] = {}
         for u, v, e in zip(pdf.u, pdf.v, pdf.eid, strict=True):
             near.setdefault(u, []).append((v, e or ""))
@@ -255,15 +255,14 @@ def node_colours(g: Graph, rounds: int) -> DataFrame:
 SEARCH_NODES = 10_000
 
 
-def isomorphic(a: Graph, b: Graph, rounds: int = 6) -> bool:
+def isomorphic(a: Graph, b: Graph, rounds: int = 3) -> bool:
     """Whether some renaming of segments makes the graphs equal (sequences, lengths, links with orientations and
     alignments).
 
-    Components are matched by the multiset of their nodes' colours; those that agree are then compared
-    exactly, by search within colours, a pair of components a task. Raises where a component has over
+    Components are grouped by the multiset of their nodes' colours; those of a group are compared
+    exactly, by search within colours, a group a task, and each kind must be there as often in
+    both graphs. Raises where a component has over
     ``SEARCH_NODES`` nodes and colours do not tell all of its nodes apart."""
-    if not may_be_isomorphic(a, b, rounds):
-        return False
     shapes = []
     for side, g in (("a", a), ("b", b)):
         where = cut(components(g).join(node_colours(g, rounds), "node"), "coloured")
@@ -277,7 +276,7 @@ def isomorphic(a: Graph, b: Graph, rounds: int = 6) -> bool:
         each = nodes.unionByName(edges).groupBy("shape", "component").agg(F.array_sort(F.collect_list(F.struct("t", "u", "v", "x"))).alias("rows"))
         shapes.append(cut(each.withColumn("side", F.lit(side)), "shapes"))
 
-    def classes(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def classes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """How many components of each side fall in each class of truly equal ones."""
         found: list[tuple[list, dict[str, int]]] = []
         for rows, side in zip(pdf["rows"], pdf["side"], strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import codec_size as cs
@@ -13,10 +13,12 @@ from graphloom.functions import codecs
 from graphloom.functions import sequence as sq
 from graphloom.operators import algorithms as al
 from graphloom.operators import analytics as an
+from graphloom.operators import elements as el
 from graphloom.operators import graph as gr
+from graphloom.operators import reports as rp
 from graphloom.plans import derive
-from graphloom.plans.tables import shared_dir
-from graphloom.sources import block_file
+from graphloom.plans.tables import cut, noted, shared_dir
+from graphloom.sources import block_file, gfa_text
 from graphloom.sources.gfa_text import canonical
 
 BASE = """
@@ -339,27 +341,33 @@ def walk_parse(spark, d):
     return w.select("sample_id", "seq_id", "seq_start", F.size(parsed).cast("bigint").alias("n"), back.alias("walk"))
 
 
-@register(None)
+_ROUND = """k{i} AS (SELECT c.node, md5(c.colour||'/'||coalesce(string_agg(x, ',' ORDER BY x),'')) AS colour FROM k{j} c LEFT JOIN (SELECT from_node AS node, concat_ws(':','o',from_orn,to_orn,alignment,colour) AS x FROM d_links JOIN k{j} ON node=to_node
+ UNION ALL SELECT to_node, concat_ws(':','i',from_orn,to_orn,alignment,colour) FROM d_links JOIN k{j} ON node=from_node) y ON y.node=c.node GROUP BY c.node, c.colour)"""
+
+
+@register(sql("SELECT n, count(*) AS classes FROM (SELECT count(*) AS n FROM k3 GROUP BY colour) GROUP BY n", "k0 AS (SELECT name AS node, md5(sequence) AS colour FROM d_segments)", *[_ROUND.format(i=i, j=i - 1) for i in (1, 2, 3)]))
 def wl_colours(spark, d):
-    return al.colours(derive.graph(spark, d))
+    """How many classes of nodes have each size after three rounds; colours themselves are hashes of our own."""
+    return al.colours(derive.graph(spark, d)).groupBy("n").agg(F.count("*").alias("classes"))
 
 
-@register(None)
+@register(sql("SELECT 'o'||l_orderkey||'.'||first_rn AS component, CAST(l.rn-first_rn AS BIGINT) AS position, l.name AS u, 'o'||l_orderkey||'.'||(l.rn+1) AS v, 'e'||l.ord AS eid FROM c_chains l WHERE EXISTS (SELECT 1 FROM c_segments r WHERE r.l_orderkey=l.l_orderkey AND r.rn=l.rn+1 AND r.l_linestatus=l.l_linestatus)"))
 def dfs_edges(spark, d):
     return al.dfs_edges(derive.chain_graph(spark, d))
 
 
 def _block_file(spark, d) -> str:
-    """Segments, links and paths of the derived graph as a block file in the shared folder."""
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.bin"
-    g = gr.Graph.of(spark, segments=derive.segments(spark, d), links=derive.links(spark, d), paths=derive.paths(spark, d))
-    block_file.write(g, path, block_size=8192)
+    """The derived graph as a block file in the shared folder."""
+    path = noted(f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.bin")
+    block_file.write(derive.graph(spark, d), path, block_size=8192)
+    noted(path + ".blocks")
     return path
 
 
 @register(sql("""SELECT 1 AS section, concat_ws(chr(9),'S',name,sequence,'RC:i:'||rc) AS line FROM d_segments
  UNION ALL SELECT 2, concat_ws(chr(9),'L',from_node,from_orn,to_node,to_orn,alignment,'ID:Z:'||eid) FROM d_links
- UNION ALL SELECT 4, concat_ws(chr(9),'P',path_name,steps,'*') FROM d_paths"""))
+ UNION ALL SELECT 4, concat_ws(chr(9),'P',path_name,steps,'*') FROM d_paths
+ UNION ALL SELECT 5, concat_ws(chr(9),'W',sample_id,CAST(hapindex AS VARCHAR),seq_id,CAST(seq_start AS VARCHAR),CAST(seq_end AS VARCHAR),walk) FROM d_walks"""))
 def block_file_round_trip(spark, d):
     return canonical(block_file.read(spark, _block_file(spark, d))).select("section", "line")
 
@@ -369,6 +377,7 @@ def block_file_round_trip(spark, d):
  UNION ALL SELECT 'links', 'fromto', count(*), 32*count(*) FROM d_links UNION ALL SELECT 'links', 'cigars', count(*), CAST(sum(length(alignment)) AS BIGINT) FROM d_links
  UNION ALL SELECT 'paths', 'names', count(*), CAST(sum(length(path_name)) AS BIGINT) FROM d_paths UNION ALL SELECT 'paths', 'cigars', count(*), count(*) FROM d_paths
  UNION ALL SELECT 'paths', 'paths', count(*), CAST(8*(count(*)+2*sum(n)) AS BIGINT) FROM d_paths
+ UNION ALL SELECT 'walks', unnest(['samples','haplotypes','sequences','positions','walks']), unnest([n,n,n,n,n]), unnest([a,n,b,2*n,t]) FROM (SELECT count(*) AS n, CAST(sum(length(sample_id)) AS BIGINT) AS a, CAST(sum(length(seq_id)) AS BIGINT) AS b, CAST(sum(n) AS BIGINT) AS t FROM d_walks)
  UNION ALL SELECT 'tags', 'tags', (SELECT count(*) FROM d_segments), CAST((SELECT sum(length('RC:i:'||rc)) FROM d_segments)+(SELECT sum(length('ID:Z:'||eid)) FROM d_links) AS BIGINT)"""))
 def block_statistics(spark, d):
     stats = block_file.statistics(spark, _block_file(spark, d))
@@ -386,3 +395,277 @@ def codec_bytes(spark, d):
     for k in names:
         same = same & (codecs.decoded(F.col(f"{k}_b"), F.col("n"), k) == F.col("v"))
     return rows.select("l_orderkey", "n", *[F.octet_length(f"{k}_b").cast("bigint").alias(k) for k in names], same.alias("same"))
+
+
+def _folder(spark, name: str) -> str:
+    return noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+LINES = """SELECT 0 AS section, '' AS k1, '' AS k2, '' AS k3, '' AS k4, '' AS k5, 'H'||chr(9)||'VN:Z:1.0' AS line
+ UNION ALL SELECT 1, name, '', '', '', '', 'S'||chr(9)||name||chr(9)||sequence||chr(9)||'RC:i:'||rc FROM d_segments
+ UNION ALL SELECT 2, from_node, to_node, from_orn, to_orn, alignment, concat_ws(chr(9),'L',from_node,from_orn,to_node,to_orn,alignment) FROM d_links
+ UNION ALL SELECT 4, path_name, '', '', '', '', concat_ws(chr(9),'P',path_name,steps,'*') FROM d_paths
+ UNION ALL SELECT 5, sample_id, seq_id, CAST(hapindex AS VARCHAR), CAST(seq_start AS VARCHAR), '', concat_ws(chr(9),'W',sample_id,CAST(hapindex AS VARCHAR),seq_id,CAST(seq_start AS VARCHAR),CAST(seq_end AS VARCHAR),walk) FROM d_walks"""
+
+
+def _text_folder(spark, d) -> str:
+    path = _folder(spark, "text")
+    gfa_text.write_text(derive.graph(spark, d), path)
+    return path
+
+
+@register(sql(f"SELECT section, line FROM ({LINES})"))
+def text_scan(spark, d):
+    """The graph written as text, scanned, and written again."""
+    return canonical(gfa_text.scan(spark, _text_folder(spark, d))).select("section", "line")
+
+
+@register(sql(f"SELECT row_number() OVER (ORDER BY section, k1, k2, k3, k4, k5, line) AS position, line FROM ({LINES})"))
+def text_line_order(spark, d):
+    """The written lines, numbered as they stand in the files."""
+    lines = gfa_text.read_lines(spark, _text_folder(spark, d))
+    part = F.shiftright("ord", gfa_text.FILE_BITS)
+    rows = lines.withColumn("p", part)
+    sums = rows.groupBy("p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("p").orderBy("ord"))
+    return rows.withColumn("i", inside).join(sums.select("p", before.alias("b")), "p").select((F.col("b") + F.col("i")).alias("position"), "line")
+
+
+@register(sql("SELECT id, sequence FROM d_fasta"))
+def fasta_scan(spark, d):
+    """Sequences over several lines each, read from FASTA text."""
+    path = _folder(spark, "fasta")
+    wrapped = F.regexp_replace("sequence", "(.{10})", "$1\n")
+    derive.fasta(spark, d).select(F.concat(F.lit(">"), "id", F.lit(" of a part\n"), wrapped).alias("line")).write.text(path)
+    return gfa_text.read_fasta(spark, path)
+
+
+@register("SELECT CASE c_custkey % 5 WHEN 1 THEN 'fields of S' WHEN 2 THEN 'record type' WHEN 3 THEN 'fields of L' ELSE 'fields of W' END AS reason, count(*) AS n FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1")
+def rejected_lines(spark, d):
+    """What the scan rejects, by reason; comments, blank lines and good ones are not among it."""
+    k = F.col("c_custkey") % 5
+    tab = lambda *x: F.concat_ws("\t", *[F.lit(v) if not isinstance(v, Column) else v for v in x])
+    line = F.when(k == 0, tab("S", F.col("c_custkey").cast("string"), "ACGT")).when(k == 1, tab("S", "alone")).when(k == 2, tab("Q", "x")).when(k == 3, tab("L", "a", "?", "b", "+", "*")).otherwise(tab("W", "s", "x", "c", "0", "9", ">a"))
+    rows = derive.load(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("ord"), F.explode(F.array(line, F.lit("# note"), F.lit("  "))).alias("line"))
+    return gfa_text.parse(rows).rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@register(sql("SELECT name, CASE WHEN rc > 20 THEN 'TTTT' ELSE sequence END AS sequence FROM d_segments"))
+def append_graphs(spark, d):
+    """A graph appended to another: nodes merged, later values first."""
+    s = derive.segments(spark, d)
+    old = s.filter("cast(element_at(tags, 'RC').value as int) <= 25")
+    new = s.filter("cast(element_at(tags, 'RC').value as int) > 20").withColumn("sequence", F.lit("TTTT"))
+    return gr.append(gr.Graph.of(spark, segments=old), gr.Graph.of(spark, segments=new)).segments.select("name", "sequence")
+
+
+@register(sql("SELECT path_name, CASE WHEN n > 4 THEN 1 ELSE n END AS n FROM d_paths"))
+def overwrite_paths(spark, d):
+    """Paths added once more overwrite those of their name."""
+    g = derive.graph(spark, d)
+    short = g.paths.filter("size(steps) > 4").withColumn("steps", F.slice("steps", 1, 1))
+    return el.add(g, "path", short).paths.select("path_name", F.size("steps").cast("bigint").alias("n"))
+
+
+@register(sql("SELECT eid FROM d_links WHERE (least(from_node,to_node), greatest(from_node,to_node)) NOT IN (SELECT (least(from_node,to_node), greatest(from_node,to_node)) FROM d_links WHERE alignment='*')"))
+def remove_edges_by_pair(spark, d):
+    """Without the links of every node pair that has one of unknown alignment."""
+    links = derive.links(spark, d)
+    return el.remove_pairs(links, links.filter("alignment = '*'").select(F.col("to_node").alias("u"), F.col("from_node").alias("v"))).select("eid")
+
+
+@register(sql("SELECT eid FROM d_links WHERE alignment<>'*'"))
+def remove_edges_by_id(spark, d):
+    g = derive.graph(spark, d)
+    return gr.remove_links(g, g.links.filter("alignment = '*'").select(F.col("eid").alias("id"))).links.select("eid")
+
+
+@register(sql("SELECT path_name AS id FROM d_paths WHERE n <= 3 UNION ALL SELECT sample_id||'_'||hapindex||'_'||seq_id||'_'||seq_start||'_'||seq_end FROM d_walks WHERE n > 1"))
+def remove_paths_walks(spark, d):
+    g = derive.graph(spark, d)
+    g = el.remove(g, "path", g.paths.filter("size(steps) > 3").select(F.col("path_name").alias("id")))
+    g = el.remove(g, "walk", g.walks.filter("size(steps) = 1").select(F.col("walk_key").alias("id")))
+    return g.paths.select(F.col("path_name").alias("id")).union(g.walks.select("walk_key"))
+
+
+@register(sql("SELECT id, kind FROM (SELECT 'p'||p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'node' WHEN p_partkey % 4 = 1 THEN 'subgraph' WHEN p_partkey % 4 = 2 THEN 'path' ELSE 'edge' END AS kind FROM part)"))
+def get_by_id_collisions(spark, d):
+    """Every id is a node's, a stored subgraph's, a path's and an edge's, as far as its number lets it."""
+    s = derive.segments(spark, d)
+    k = F.col("ord") % 4
+    none = F.lit(None)
+    paths = s.filter(k <= 2).select("ord", F.col("name").alias("path_name"), F.array().cast(gr.STEPS).alias("steps"), F.array().cast("array<string>").alias("overlaps"), none.cast(gr.TAGS).alias("tags"))
+    groups = s.filter(k <= 1).select("ord", F.col("name").alias("sub_id"), F.array().cast("array<struct<id:string,orn:string>>").alias("elements"), none.cast(gr.TAGS).alias("tags"))
+    links = s.select("ord", F.col("name").alias("eid"), F.lit("L").alias("kind"), F.col("name").alias("from_node"), F.lit("+").alias("from_orn"), F.col("name").alias("to_node"), F.lit("+").alias("to_orn"), F.lit("*").alias("alignment"), none.cast("bigint").alias("pos"), none.cast("bigint").alias("distance"), none.cast("string").alias("variance"), none.cast(gr.TAGS).alias("tags"))
+    g = gr.Graph.of(spark, segments=s.filter(k == 0), links=links, paths=paths, subgraphs=groups)
+    return gr.get_by_id(g, s.select(F.col("name").alias("id")))
+
+
+@register(sql("SELECT name AS id FROM d_segments WHERE rc % 2 = 0 UNION ALL SELECT path_name FROM d_paths WHERE n = 7"))
+def membership(spark, d):
+    g = derive.graph(spark, d)
+    some = g.segments.filter("cast(element_at(tags, 'RC').value as int) % 2 = 0").select(F.col("name").alias("id"))
+    ids = some.union(g.paths.filter("size(steps) = 7").select("path_name")).union(g.segments.select(F.concat(F.lit("no "), "name")))
+    return el.contains(g, ids)
+
+
+@register(sql("SELECT name AS id, 'name, sequence or length' AS reason FROM d_segments WHERE rc = 1 UNION ALL SELECT eid, 'ends or orientations' FROM d_links WHERE alignment='*' UNION ALL SELECT path_name, 'steps or overlaps' FROM d_paths WHERE n > 6"))
+def invalid_rows(spark, d):
+    """Rows that break a constraint, in a graph where some were made to."""
+    g = derive.graph(spark, d)
+    s = g.segments.withColumn("sequence", F.when(F.element_at("tags", "RC")["value"] == "1", "AC GT").otherwise(F.col("sequence")))
+    e = g.links.withColumn("to_orn", F.when(F.col("alignment") == "*", "?").otherwise(F.col("to_orn")))
+    p = g.paths.withColumn("overlaps", F.when(F.size("steps") > 6, F.array(F.lit("1M"))).otherwise(F.col("overlaps")))
+    return gr.invalid(gr.replace(g, segments=s, links=e, paths=p)).select("id", "reason")
+
+
+@register(sql("SELECT 'node' AS kind, name AS id FROM d_segments WHERE ord <= 20 UNION ALL SELECT 'edge', eid FROM d_links WHERE CAST(substr(from_node,2) AS INT) <= 20 AND CAST(substr(to_node,2) AS INT) <= 20"))
+def stored_subgraph(spark, d):
+    """A subgraph that names its nodes, as a graph."""
+    g = derive.graph(spark, d)
+    some = g.segments.filter("ord <= 20").agg(F.collect_list(F.struct(F.col("name").alias("id"), F.lit(None).cast("string").alias("orn"))).alias("elements"))
+    sub = some.select(F.lit(0).cast("bigint").alias("ord"), F.lit("first").alias("sub_id"), "elements", F.lit(None).cast(gr.TAGS).alias("tags"))
+    found = gr.stored_subgraph(gr.replace(g, subgraphs=sub), "first")
+    return found.segments.select(F.lit("node").alias("kind"), F.col("name").alias("id")).union(found.links.select(F.lit("edge"), "eid"))
+
+
+@register("SELECT true AS same, false AS other, true AS renamed, false AS renamed_other")
+def graph_comparison(spark, d):
+    """Equality, and equality but for names, of the chains of some orders and changed copies of them."""
+    g = derive.chain_graph(spark, d)
+    few = F.col("ord") < 200 * 1000
+    g = gr.replace(g, segments=cut(g.segments.filter(few), "segments"), links=cut(g.links.filter(few), "links"))
+    name = lambda c: F.concat(F.lit("x"), F.md5(F.col(c).cast("binary")))
+    copy = gr.replace(g, segments=g.segments.withColumn("name", name("name")), links=g.links.withColumn("from_node", name("from_node")).withColumn("to_node", name("to_node")))
+    first = g.links.agg(F.min("eid")).first()[0]
+    turned = F.when(F.col("eid") == first, F.lit("-")).otherwise(F.col("to_orn"))
+    other = gr.replace(g, links=g.links.withColumn("to_orn", turned))
+    row = (gr.equal(g, g), gr.equal(g, other), al.isomorphic(g, copy), al.isomorphic(other, copy))
+    return spark.createDataFrame([row], "same boolean, other boolean, renamed boolean, renamed_other boolean")
+
+
+@register(sql("""SELECT a.name, CASE WHEN b.name IS NULL THEN a.sequence ELSE a.sequence||substr(b.sequence, a.k+1) END AS sequence, CASE WHEN b.name IS NOT NULL THEN a.name||'+,'||b.name||'+' END AS fu
+ FROM c_segments a LEFT JOIN c_segments b ON b.l_orderkey=a.l_orderkey AND b.rn=a.rn+1 AND b.l_linestatus=a.l_linestatus AND a.rn % 2 = 1
+ WHERE a.rn % 2 = 1 OR NOT EXISTS (SELECT 1 FROM c_segments z WHERE z.l_orderkey=a.l_orderkey AND z.rn=a.rn-1 AND z.l_linestatus=a.l_linestatus)"""))
+def compaction_by_edges(spark, d):
+    """Only the links behind every other segment are merged."""
+    g = derive.chain_graph(spark, d)
+    segments, _ = al.compact_by_edges(g, g.links.filter("ord % 1000 % 2 = 1"))
+    return segments.select("name", "sequence", "fu")
+
+
+@register(sql("SELECT l.name AS from_node, r.name AS to_node, 'e'||l.ord AS eid FROM c_chains l JOIN longest USING (l_orderkey, l_linestatus, isl) JOIN c_segments r ON r.l_orderkey=l.l_orderkey AND r.rn=l.rn+1 AND r.l_linestatus=l.l_linestatus", "longest AS (SELECT l_orderkey, l_linestatus, isl FROM c_chains GROUP BY ALL ORDER BY count(*) DESC, min(ord) LIMIT 1)"))
+def simple_path_edges(spark, d):
+    """The links of the path along the longest chain, the first of these."""
+    g = derive.chain_graph(spark, d)
+    chain = al.components(g).join(g.segments.select(F.col("name").alias("node"), "ord"), "node").groupBy("component")
+    most = chain.agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min_by("node", "ord").alias("first"), F.max_by("node", "ord").alias("last")).orderBy(F.desc("n"), "ord").first()
+    found = al.simple_paths(g.links, most["first"], most["last"], most["n"], edges=True)
+    return found.select(F.explode("links").alias("l")).select("l.*")
+
+
+@register(f"""WITH {STATS}, r AS (SELECT *, row_number() OVER (PARTITION BY compression_option ORDER BY ratio_median DESC, compression_value) AS a, row_number() OVER (PARTITION BY compression_option ORDER BY decode_ms, compression_value) AS b FROM rk)
+ SELECT 'best-ratio' AS mode, compression_option, compression_value, CAST(a AS INT) AS rank FROM r WHERE a<=4 UNION ALL SELECT 'best-speed', compression_option, compression_value, CAST(b AS INT) FROM r WHERE b<=4""")
+def rank_modes(spark, d):
+    ranked = an.ranking(derive.codec_stats(spark, d))
+    each = [an.top(ranked, m, 4).select(F.lit(m).alias("mode"), "compression_option", "compression_value", "rank") for m in ("best-ratio", "best-speed")]
+    return each[0].union(each[1])
+
+
+@register(f"WITH {STATS} SELECT compression_option, compression_value, round(ratio_mean,5) AS ratio_mean, round(encode_ms,5) AS encode_ms, datasets FROM rk")
+def ranking_from_csv(spark, d):
+    """Measurements written as CSV by two runs, scanned and ranked."""
+    rows = derive.codec_stats(spark, d)
+    paths = []
+    for k in (0, 1):
+        paths.append(_folder(spark, "csv"))
+        rows.filter(F.pmod(F.xxhash64("compression_value"), F.lit(2)) == k).write.csv(paths[-1], header=True)
+    ranked = an.ranking(rp.read_stats(spark, *paths))
+    return ranked.select("compression_option", "compression_value", F.round("ratio_mean", 5).alias("ratio_mean"), F.round("encode_ms", 5).alias("encode_ms"), "datasets")
+
+
+@register(f"WITH {STATS} SELECT ds AS original_gfa, CASE WHEN ds='N' THEN '' ELSE ds||' size' END AS size, 'run' AS tool, count(*) AS n FROM st GROUP BY ds")
+def stats_with_characteristics(spark, d):
+    """Measurements with a constant column and the characteristics of their data set, where it has some."""
+    chars = spark.createDataFrame([("A", "A size"), ("R", "R size")], "file string, size string")
+    rows = rp.with_characteristics(rp.annotate(derive.codec_stats(spark, d), tool="run"), chars)
+    return rows.groupBy("original_gfa", "size", "tool").agg(F.count("*").alias("n"))
+
+
+@register(sql("""SELECT 'node '||name||' length='||CASE WHEN sequence='*' THEN '*' ELSE CAST(length(sequence) AS VARCHAR) END||' sequence='||sequence||' RC:i:'||rc AS text FROM d_segments
+ UNION ALL SELECT 'edge '||eid||' '||from_node||from_orn||' -> '||to_node||to_orn||' alignment='||alignment FROM d_links
+ UNION ALL SELECT 'path '||path_name||' '||steps FROM d_paths"""))
+def pretty_listing(spark, d):
+    return rp.listing(derive.graph(spark, d)).filter("section < 4").select("text")
+
+
+def _names(table: dict) -> str:
+    return "[" + ",".join(f"'{n}'" for n in table) + "]"
+
+
+@register(f"SELECT codec, count(DISTINCT l_orderkey) AS lists, true AS same FROM lineitem, (SELECT unnest({_names(codecs.INTEGER_CODES)}) AS codec) GROUP BY codec")
+def integer_codecs_round_trip(spark, d):
+    """Every integer codec over the parts of each order, as bytes and back."""
+    lists = cut(derive.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v")), "lists")
+    out = None
+    for name in codecs.INTEGER_CODES:
+        back = codecs.decoded(codecs.encoded(F.col("v"), name), F.size("v"), name)
+        part = lists.select(F.lit(name).alias("codec"), (back == F.col("v")).alias("same"))
+        out = part if out is None else out.union(part)
+    return out.groupBy("codec").agg(F.count("*").alias("lists"), F.bool_and("same").alias("same"))
+
+
+@register(f"SELECT codec, count(DISTINCT c_nationkey) AS lists, true AS same FROM customer, (SELECT unnest({_names(codecs.STRING_CODES)}) AS codec) GROUP BY codec")
+def string_codecs_round_trip(spark, d):
+    """Every string codec over the names and segments of each nation's customers, as bytes and back."""
+    lists = derive.load(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "c_name", "c_mktsegment"))).alias("v"))
+    lists = cut(lists, "lists")
+    out = None
+    for name in codecs.STRING_CODES:
+        back = codecs.decoded_strings(codecs.encoded_strings(F.col("v"), "varint-" + name), F.size("v"), "varint-" + name)
+        part = lists.select(F.lit(name).alias("codec"), (back == F.col("v")).alias("same"))
+        out = part if out is None else out.union(part)
+    return out.groupBy("codec").agg(F.count("*").alias("lists"), F.bool_and("same").alias("same"))
+
+
+@register(sql("SELECT eid, CAST(n AS VARCHAR)||'M'||n||'I1D2N3S4H5P6=7X' AS cigar, 9 AS ops, CAST(2*n+28 AS BIGINT) AS total, '012345678' AS codes FROM (SELECT eid, length(from_node) AS n FROM d_links)"))
+def cigar_letters(spark, d):
+    """CIGARs of all operations, parsed; a letter's code is its place."""
+    n = F.length("from_node").cast("string")
+    cigar = F.concat(n, F.lit("M"), n, F.lit("I1D2N3S4H5P6=7X"))
+    rows = derive.links(spark, d).select("eid", cigar.alias("cigar")).withColumn("p", sq.cigar_parse(F.col("cigar")))
+    code = F.when(F.col("p").isNotNull(), F.array_join(F.transform("p", lambda x: F.when(x["op"] == "X", "8").when(x["op"] == "=", "7").otherwise(x["code"].cast("string"))), ""))
+    return rows.select("eid", "cigar", F.size("p").alias("ops"), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("total"), code.alias("codes"))
+
+
+@register(sql("SELECT path_name, n, steps AS signed, replace(replace(steps,'-',''),'+','') AS names FROM d_paths"))
+def walk_forms(spark, d):
+    """Both written forms of the steps parse alike."""
+    p = derive.paths(spark, d)
+    arrow = F.array_join(F.transform("steps", lambda s: F.concat(F.when(s["orn"] == "-", "<").otherwise(">"), s["seg"])), "")
+    signed = F.array_join(F.transform("steps", lambda s: F.concat(s["seg"], s["orn"])), "")
+    rows = p.select("path_name", sq.steps_of(arrow).alias("a"), sq.steps_of(signed).alias("b")).filter("a = b")
+    return rows.select("path_name", F.size("a").cast("bigint").alias("n"), sq.steps_text(F.col("a")).alias("signed"), F.array_join(F.transform("b", lambda s: s["seg"]), ",").alias("names"))
+
+
+@register("""SELECT c_custkey, regexp_full_match(c_mktsegment, '[ACGTNacgtn]*') AS dna, c_nationkey*256+5 AS packed, c_nationkey AS high, 5 AS low, c_name||'#1#'||c_mktsegment||':0-9' AS pansn, c_nationkey+9 AS walk, c_name||'|+' AS oriented,
+ translate(reverse(c_mktsegment), 'AaCcGgTt', 'TtGgCcAa') AS rc, true AS i_ok, false AS bad_i, true AS f_ok, c_acctbal AS real, false AS a_ok FROM customer""")
+def scalar_functions(spark, d):
+    c = derive.load(spark, d, "customer")
+    packed = sq.pack_code(F.col("c_nationkey"), F.lit(5))
+    parts = sq.unpack_code(packed)
+    real = sq.tag_value(F.lit("f"), F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    simple = F.translate(sq.reverse_complement_as_is(F.translate("c_mktsegment", "BbDdHhKkMmNnRrSsUuVvWwYy", "012345678!@#$%^&()-_[]{}")), "012345678!@#$%^&()-_[]{}", "BbDdHhKkMmNnRrSsUuVvWwYy")
+    return c.select("c_custkey", sq.is_dna(F.col("c_mktsegment")).alias("dna"), packed.cast("int").alias("packed"), F.get(parts, 0).cast("int").alias("high"), F.get(parts, 1).cast("int").alias("low"), sq.pansn(F.col("c_name"), F.lit(1), F.col("c_mktsegment"), F.lit(0), F.lit(9)).alias("pansn"), sq.walk_length(F.lit(-9), F.col("c_nationkey")).alias("walk"), sq.oriented_name(F.col("c_name"), F.lit("+")).alias("oriented"), simple.alias("rc"), sq.tag_valid(F.lit("i"), F.col("c_custkey").cast("string")).alias("i_ok"), sq.tag_valid(F.lit("i"), F.col("c_name")).alias("bad_i"), real["valid"].alias("f_ok"), real["real"].alias("real"), sq.tag_valid(F.lit("A"), F.col("c_name")).alias("a_ok"))
+
+
+@register(sql("SELECT 'segments' AS section_type, unnest(['names','sequences']) AS field, CAST(ceil(count(*)/65535.0) AS BIGINT) AS blocks, true AS correct FROM d_segments"))
+def block_validation(spark, d):
+    """Each block's fields decoded and held against the heads: those of the segments are
+    listed, as correct if nothing in the file is wrong."""
+    report = block_file.validate(spark, _block_file(spark, d))
+    wrong = report.filter("not correct").count()
+    kind = F.when(F.col("section_id") == block_file.SEGMENTS, "segments")
+    rows = report.select(kind.alias("section_type"), F.col("section_field").alias("field"), (F.col("correct") & F.lit(wrong == 0)).alias("correct")).filter("section_type is not null")
+    return rows.groupBy("section_type", "field").agg(F.count("*").alias("blocks"), F.bool_and("correct").alias("correct"))

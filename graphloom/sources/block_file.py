@@ -1,9 +1,11 @@
 """The binary block format: columns of up to 65,535 records a block, each with a codec of its own.
 
-Reading: the driver walks the block heads only (and the step counts of paths, whose size no head
-holds); a task opens the file at its blocks and decodes those. Segment ordinals become names by a join.
-Writing: records get ordinals side by side, each block is encoded by one task, and the blocks
-are streamed in order into one file. The path must be one that every executor can open.
+Reading: the driver walks the block heads; a task opens the file at its blocks and decodes those. Segment
+ordinals become names by a join. The size of path steps is in no head: ``write`` notes where blocks
+begin in a side file (``.blocks``), with which the walk reads no steps. Where that is missing, as with a
+file of another program, or does not fit the file, the driver finds the end of the steps by
+decoding them. Writing: records get ordinals side by side, each block is encoded by one task, and
+the blocks are streamed in order into one file. The path must be one that every executor can open.
 
 What the format cannot hold: header and jump lines, tags of paths and walks; unknown walk positions
 become 0. Ids of links are kept in the tag ``ID``, the position of a containment in the tag ``zC``.
@@ -18,6 +20,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -115,11 +118,45 @@ def header(path: str) -> dict:
     return {"version": version, "text": text[:-1].decode("ascii", "replace"), "size": HEAD.size + size + 1}
 
 
+def _side(path: str) -> str:
+    return path + ".blocks"
+
+
+def _starts(path: str, size: int) -> dict[int, int]:
+    """start -> end of the blocks that the side file notes; none where it is missing or of another file."""
+    where, name = _place(_side(path))
+    try:
+        with where.open_input_stream(name) as f:
+            noted = np.frombuffer(f.readall(), "<i8")
+    except (OSError, ValueError):
+        return {}
+    if len(noted) < 2 or noted[-1] != size or (np.diff(noted) <= 0).any():
+        return {}
+    return dict(zip(noted[:-1].tolist(), noted[1:].tolist(), strict=True))
+
+
+def _steps_total(f, at: int, size: int, n: int, code: int) -> int:
+    """How many steps a block of paths has: only the counts, which come first, are read."""
+    if not n or code >> 24 == co.WALK_NONE:
+        return 0
+    wanted = min(size, max(64, 4 * n))
+    while True:
+        f.seek(at)
+        data = f.read(wanted)
+        try:
+            return sum(co.integers_of(code & 255)[1](data, n)[0])
+        except (ValueError, IndexError, struct.error):
+            if wanted >= size:
+                raise
+            wanted = min(size, 2 * wanted)
+
+
 def walk(path: str) -> Iterator[Block]:
     """The file's blocks, by their heads."""
     at, index, done = header(path)["size"], 0, {}
     with _open(path) as f:
         end = f.size()
+        noted = _starts(path, end)
         while at < end:
             f.seek(at)
             lead = f.read(max(h.size for h in HEADS.values()))
@@ -149,16 +186,21 @@ def walk(path: str) -> Iterator[Block]:
                 raise BlockError(f"the block at byte {at} ends early")
             if section == PATHS:
                 wanted = CHUNK
-                while True:
+                size = noted.get(at, 0) - at - inside
+                try:
+                    known = (size, _steps_total(f, at + inside, size, n, v[1])) if size >= 0 else None
+                except (ValueError, IndexError, struct.error):
+                    known = None
+                while known is None:
                     f.seek(at + inside)
                     data = f.read(wanted)
                     try:
-                        size, total = _steps_end(data, n, v[1])
-                        break
+                        known = _steps_end(data, n, v[1])
                     except (ValueError, IndexError, struct.error):
                         if len(data) < wanted:
                             raise BlockError(f"the block at byte {at} ends early") from None
                         wanted *= 2
+                size, total = known
                 parts.append(Part("paths", v[1], inside, size, 8 * (n + 2 * total)))
                 inside += size
             base, more_base = done.get(section, (0, 0))
@@ -252,7 +294,8 @@ _BLOCK = "index bigint, section int, n bigint, more bigint, base bigint, more_ba
 
 
 def block_table(spark: SparkSession, path: str) -> DataFrame:
-    """One row a block: where it is, what it holds; no payload is read but the step counts of paths."""
+    """One row a block: where it is, what it holds; of payloads only the step counts of paths are read, if the
+    file has its side file."""
     rows = [(b.index, b.section, b.n, b.more, b.base, b.more_base, b.start, b.size, [(p.field, p.code, p.start, p.size, p.raw) for p in b.parts]) for b in walk(path)]
     return spark.createDataFrame(rows, _BLOCK)
 
@@ -479,6 +522,7 @@ def write(g: Graph, path: str, block_size: int = 1024, **options) -> None:
     driver then streams them, one partition at a time, to ``path``."""
     blocks = cut(blocks_of(g, block_size, **options), "blocks")
     where, name = _place(path)
+    starts = []
     with where.open_output_stream(name) as f:
         f.write(HEAD.pack(MAGIC, VERSION, len(HEADER_TEXT)) + HEADER_TEXT + b"\0")
         if blocks.isEmpty():
@@ -486,7 +530,11 @@ def write(g: Graph, path: str, block_size: int = 1024, **options) -> None:
             plain = co.code_of("varint-none")
             f.write(encode_block(SEGMENTS, [], {k: plain if v is None else v for k, v in codes.items()}))
         for r in blocks.orderBy("section", "block").toLocalIterator():
+            starts.append(f.tell())
             f.write(bytes(r["payload"]))
+        starts.append(f.tell())
+    with where.open_output_stream(_place(_side(path))[1]) as f:
+        f.write(np.array(starts, "<i8").tobytes())
 
 
 # Inspection

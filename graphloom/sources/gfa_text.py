@@ -15,27 +15,56 @@ from pyspark.sql import functions as F
 from graphloom.functions.sequence import steps_of, steps_text, tags_of, tags_text
 from graphloom.operators.graph import Graph, key_of_walk
 
+#: The format's patterns for names, orientations, sequences, CIGARs and positions.
 NAME, ORN, SEQ, CIGAR = "^[!-)+-<>-~][!-~]*$", "^[+-]$", "^(\\*|[A-Za-z=.]+)$", "^(\\*|([0-9]+[MIDNSHPX=])+)$"
 POS = "^(\\*|[0-9]+)$"
+#: Bits of an ``ord`` below the file's number, and lines of a batch that is unpacked.
+FILE_BITS, UNPACKED = 41, 50_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line) of a file, or of a folder; plain, .gz and .zst by Spark, .xz whole files by lzma."""
-    if not path.endswith(".xz"):
-        return with_order(spark.read.text(path).select(F.col("value").alias("line")))
+    """(ord, line) of a file, or of a folder; plain, .gz and .zst by Spark, .xz by lzma, a file a task, as a stream.
+
+    ``ord`` rises by file name, then by line; gaps are harmless."""
+    if path.endswith(".xz"):
+        return _unpacked(spark, path)
+    rows = spark.read.text(path)
+    files = sorted(rows.inputFiles())
+    if files and all(f.endswith(".xz") for f in files):
+        return _unpacked(spark, path)
+    # A line's place: its split's first byte and its number in the task, which is below the bytes of a split.
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    if len(files) <= 1:
+        return rows.select(place.alias("ord"), F.col("value").alias("line"))
+    number = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, k bigint")
+    named = rows.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("line"))
+    # The paths of files are written in two ways: with one slash behind the scheme, or with three.
+    plain = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
+    joined = named.withColumn("at", plain("path")).join(F.broadcast(number.select(plain("file").alias("at"), "k")), "at", "left")
+    return joined.select((F.shiftleft(F.coalesce("k", F.lit(0)).cast("bigint"), FILE_BITS) + F.col("place")).alias("ord"), "line")
+
+
+def _unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of .xz files, each unpacked as a stream by one task."""
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
 
     def unpack(batches):
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                lines = lzma.decompress(data).decode("utf-8", "replace").splitlines()
-                yield pa.RecordBatch.from_pydict({"ord": list(range(len(lines))), "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "ord bigint, line string")
+        from graphloom.sources.block_file import _open
 
+        for batch in batches:
+            for k, name in zip(batch.column("k").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                with lzma.open(_open(name)) as f:
+                    held, at = [], 0
+                    for raw in f:
+                        held.append(raw.decode("utf-8", "replace").rstrip("\r\n"))
+                        if len(held) == UNPACKED:
+                            yield pa.RecordBatch.from_pydict({"ord": [k << FILE_BITS | i for i in range(at, at + len(held))], "line": held})
+                            held, at = [], at + len(held)
+                    if held:
+                        yield pa.RecordBatch.from_pydict({"ord": [k << FILE_BITS | i for i in range(at, at + len(held))], "line": held})
 
-def with_order(lines: DataFrame) -> DataFrame:
-    """Ascending in file order, without an unpartitioned window; gaps between partitions are harmless."""
-    return lines.select(F.monotonically_increasing_id().alias("ord"), "line")
+    numbered = spark.createDataFrame(list(enumerate(files)), "k bigint, path string")
+    return numbered.repartition(max(1, len(files)), "k").mapInArrow(unpack, "ord bigint, line string")
 
 
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
@@ -86,6 +115,34 @@ def parse(lines: DataFrame) -> Graph:
     return Graph(segments, links, paths, walks, of("H").select("ord", tags("H")), jumps, rejects)
 
 
+def parse_line(spark: SparkSession, line: str, kind: str | None = None) -> dict:
+    """The fields of one record; ``kind`` stands for a leading type letter that is left out. Raises where the
+    line is no record of its type."""
+    from graphloom.operators.elements import MalformedLine
+
+    if kind is not None and line.split("\t")[0] != kind:
+        line = f"{kind}\t{line}"
+    g = parse(lines_of(spark, line))
+    for table in ("segments", "links", "paths", "walks", "headers", "jumps"):
+        row = getattr(g, table).first()
+        if row is not None:
+            return {"table": table, **row.asDict(True)}
+    bad = g.rejects.first()
+    raise MalformedLine(bad["reason"] if bad else "an empty line")
+
+
+def subgraphs_of(lines: DataFrame) -> DataFrame:
+    """Stored subgraphs of (ord, line): paths, ordered (O) and unordered (U) groups, whose elements have an
+    orientation only in the first two."""
+    f = F.split("line", "\t")
+    rows = lines.filter(F.col("line").rlike("^[POU]\t")).withColumn("f", f)
+    kind, body = F.get("f", F.lit(0)), F.get("f", F.lit(2))
+    oriented = F.transform(F.split(body, "[, ]+"), lambda s: F.struct(F.regexp_replace(s, "[+-]$", "").alias("id"), F.nullif(F.regexp_extract(s, "([+-])$", 1), F.lit("")).alias("orn")))
+    bare = F.transform(F.split(body, "[, ]+"), lambda s: F.struct(s.alias("id"), F.lit(None).cast("string").alias("orn")))
+    from_ = F.when(kind == "P", 4).otherwise(3)
+    return rows.select("ord", F.get("f", F.lit(1)).alias("sub_id"), F.when(kind == "U", bare).otherwise(oriented).alias("elements"), tags_of(F.slice("f", from_ + 1, F.size("f"))).alias("tags"))
+
+
 def scan(spark: SparkSession, path: str) -> Graph:
     return parse(read_lines(spark, path))
 

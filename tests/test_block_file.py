@@ -115,6 +115,20 @@ def test_broken_files(spark, g, tmp_path):
     assert [(r["section_id"], r["section_field"]) for r in report] == [(2, "names")]
 
 
+def test_side_file(spark, g, tmp_path):
+    """The walk is the same with the side file, without it, and with one that does not fit."""
+    path = tmp_path / "g.bin"
+    bf.write(g, str(path), block_size=1)
+    side = tmp_path / "g.bin.blocks"
+    with_side = list(bf.walk(str(path)))
+    noted = side.read_bytes()
+    for other in (None, noted[:-8], b"", noted[8:], struct.pack("<2q", 40, path.stat().st_size), b"abc"):
+        side.unlink(missing_ok=True)
+        if other is not None:
+            side.write_bytes(other)
+        assert list(bf.walk(str(path))) == with_side
+
+
 def test_options_that_cannot_be(spark, g, tmp_path):
     for options in ({"nonsense": "none"}, {"tags": "gamma"}, {"path_steps": bf.walk_code("varint", "varint-gzip")}, {"block_size": 0}, {"block_size": 70000}):
         with pytest.raises(ValueError):
