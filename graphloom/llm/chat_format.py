@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 Message = tuple[str, str]  # role, text
 Template = Callable[[list[Message]], str]
-#: Turns that an additive template renders together.
-STRETCH = 16
+#: Turns that an additive template renders together; the private-use characters.
+STRETCH, PROBES = 16, "".join(map(chr, range(0xE000, 0xF900)))
 
 #: What the template writes to mark turns, and what other templates do; escaped inside texts.
 CONTROL = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -66,12 +66,12 @@ def read_back(formatted: str) -> list[Message]:
 
 def probe_for(*texts: str) -> str:
     """A string of private-use characters that none of the texts holds, as short as can be."""
-    marks = [chr(c) for c in range(0xE000, 0xF900)]
-    if free := next((c for c in marks if not any(c in t for t in texts)), None):
-        return free
+    for c in PROBES:
+        if not any(c in t for t in texts):
+            return c
     # A run of one character that is longer than any run of it.
-    longest = max((len(m[0]) for t in texts for m in re.finditer(marks[0] + "+", t)), default=0)
-    return marks[0] * (longest + 1)
+    longest = max((len(m[0]) for t in texts for m in re.finditer(PROBES[0] + "+", t)), default=0)
+    return PROBES[0] * (longest + 1)
 
 
 def locate(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
