@@ -5,7 +5,7 @@ place where a run of markers begins: each chunk (markers, then the characters up
 marker) is segmented by itself, once for all documents:
 
 1. ``cut_up``: each task cuts its texts into chunks and gathers them in blocks. A block numbers its
-   distinct chunks, the most frequent first, and puts out its documents as packed positions (those
+   distinct chunks in the order of first sight and puts out its documents as packed positions (those
    numbers) and its distinct chunks as one packed row a bucket; buckets go by a hash of the chunk.
 2. ``segment``: rows meet by bucket, so all occurrences of a chunk are in one task. The table there
    holds each chunk once; the library segments it once; each block gets the ids of its chunks back.
@@ -44,7 +44,7 @@ MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 BLOCK_CHUNKS, BLOCK_CHARS = 300_000, 32_000_000
 #: Chunks in a row of positions (or one longer text), characters of a batch of results.
-PACK, STRETCH = 500_000, 2_000_000
+PACK, STRETCH = 2_000_000, 2_000_000
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 32 << 20, 32, 1 << 22
 #: The kinds of rows between the steps; documents sort behind the chunks of their block.
 CHUNKS, DOCUMENTS = 0, 1
@@ -114,7 +114,7 @@ class ChunkTable(dict):
 
 
 def _pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=9).compress(raw)
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -131,6 +131,19 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_places(places: np.ndarray, seen: int) -> bytes:
+    """Chunk numbers by first sight, ``seen`` of them before: 0 where a chunk is new, else its number and 1."""
+    highest = np.maximum.accumulate(np.concatenate([[seen - 1], places.astype(np.int64)]))
+    return pack_numbers(np.where(np.diff(highest) > 0, 0, places.astype(np.int64) + 1))
+
+
+def unpack_places(packed: bytes, seen: int) -> np.ndarray:
+    places = unpack_numbers(packed).astype(np.int64) - 1
+    new = places < 0
+    places[new] = seen + np.arange(np.count_nonzero(new))
+    return places
+
+
 def pack_strings(strings: list[str]) -> tuple[bytes, bytes]:
     lengths = np.fromiter(map(len, strings), np.uint32, len(strings))
     return pack_numbers(lengths), _pack("".join(strings).encode())
@@ -207,11 +220,7 @@ class Block:
         if not self.ids:
             return
         chunks, places = list(self.numbers), np.concatenate(self.places)
-        order = np.argsort(-np.bincount(places, minlength=len(chunks)), kind="stable")
-        rank = np.empty(len(chunks), np.uint32)
-        rank[order] = np.arange(len(chunks), dtype=np.uint32)
-        places = rank[places]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(c.encode()) for c in chunks), np.uint64, len(chunks))[order]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(c.encode()) for c in chunks), np.uint64, len(chunks))
         digest = xxhash.xxh3_128(hashes.tobytes())
         digest.update(places.tobytes())
         digest.update(repr(self.ids).encode())
@@ -219,16 +228,17 @@ class Block:
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.argsort(bucket, kind="stable")
         starts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
-        for ranks in np.split(by_bucket, starts[1:]):
-            yield (int(bucket[ranks[0]]), name, CHUNKS, pack_numbers(np.diff(ranks, prepend=0)), *pack_strings([chunks[i] for i in order[ranks].tolist()]))
+        for numbers in np.split(by_bucket, starts[1:]):
+            yield (int(bucket[numbers[0]]), name, CHUNKS, pack_numbers(np.diff(numbers, prepend=0)), *pack_strings([chunks[i] for i in numbers.tolist()]))
         lengths = np.fromiter(map(len, self.places), np.int64, len(self.places))
-        ends, first = np.cumsum(lengths), 0
+        ends, first, seen = np.cumsum(lengths), 0, 0
         while first < len(self.ids):
             begin = int(ends[first] - lengths[first])
             last = max(first + 1, int(np.searchsorted(ends, begin + PACK, "right")))
+            part = places[begin : int(ends[last - 1])]
             key = int.from_bytes(name[:4], "little") + first
-            yield key, name, DOCUMENTS, pack_ids(self.ids[first:last]), pack_numbers(lengths[first:last]), pack_numbers(places[begin : int(ends[last - 1])])
-            first = last
+            yield key, name, DOCUMENTS, pack_ids(self.ids[first:last]), pack_numbers(np.concatenate([[seen], lengths[first:last]])), pack_places(part, seen)
+            first, seen = last, max(seen, int(part.max()) + 1)
 
 
 def cut_up(rows: DataFrame, buckets: int) -> DataFrame:
@@ -258,13 +268,13 @@ def segment(packed: DataFrame, model_path: str) -> DataFrame:
                 if kind == DOCUMENTS:
                     yield row
                     continue
-                key, block, _, ranks, lengths, text = row
+                key, block, _, numbers, lengths, text = row
                 chunks = unpack_strings(lengths, text)
                 new = [c for c in chunks if c not in table]
                 table.update(zip(new, (np.array(x, "<u4").tobytes() for x in segmenter.ids(new)), strict=True))
                 ids = list(map(table.__getitem__, chunks))
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                yield key, block, CHUNKS, ranks, pack_numbers(counts), pack_numbers(np.frombuffer(b"".join(ids), "<u4"))
+                yield key, block, CHUNKS, numbers, pack_numbers(counts), pack_numbers(np.frombuffer(b"".join(ids), "<u4"))
 
     by_bucket = packed.repartition("key").sortWithinPartitions("kind", "key")
     return by_bucket.mapInArrow(lambda batches: _batches(tables(batches)), PACKED)
@@ -281,10 +291,11 @@ def put_together(packed: DataFrame, model_path: str, schema: T.StructType, outpu
             for _, _, kind, a, b, c in rows:
                 if kind == CHUNKS:
                     ends, ids = np.cumsum(unpack_numbers(b), dtype=np.int64).tolist(), unpack_numbers(c).tolist()
-                    ranks = np.cumsum(unpack_numbers(a), dtype=np.int64).tolist()
-                    forms.update(zip(ranks, segmenter.forms([ids[s:e] for s, e in zip([0, *ends], ends, strict=False)]), strict=True))
+                    numbers = np.cumsum(unpack_numbers(a), dtype=np.int64).tolist()
+                    forms.update(zip(numbers, segmenter.forms([ids[s:e] for s, e in zip([0, *ends], ends, strict=False)]), strict=True))
                     continue
-                ids, ends, places = unpack_ids(a), np.cumsum(unpack_numbers(b), dtype=np.int64).tolist(), unpack_numbers(c)
+                ids, (seen, *lengths) = unpack_ids(a), unpack_numbers(b).tolist()
+                ends, places = np.cumsum(lengths, dtype=np.int64).tolist(), unpack_places(c, seen)
                 if len(forms) <= places.max():
                     raise RuntimeError("a block lacks chunks: its input was read again in another order")
                 for row_id, s, e in zip(ids, [0, *ends], ends, strict=False):

@@ -78,6 +78,42 @@ def test_sentencepiece(docs, rows, empty):
     assert sentencepiece_codec.encode_decode(empty, MODEL).count() == 0
 
 
+@pytest.mark.parametrize("chunks, pack", [(1, 1), (40, 25), (300_000, 7)])
+def test_sentencepiece_blocks(docs, rows, monkeypatch, chunks, pack):
+    """Blocks and rows of positions of every size give what the library gives, for repeated rows and null ids too."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [r for r in rows if len(r[1] or "") < 10_000]
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK_CHUNKS", chunks)
+    monkeypatch.setattr(sentencepiece_codec, "PACK", pack)
+    block, out = sentencepiece_codec.Block(), []
+    for i, t in [(r[0], r[1] or "") for r in rows] + [(None, "null id"), (1, rows[1][1]), (1, rows[1][1])]:
+        block.add(i, t)
+        if block.full():
+            out += block.rows(3)
+            block = sentencepiece_codec.Block()
+    out += block.rows(3)
+    assert list(sentencepiece_codec.Block().rows(3)) == []
+    chunks_of = {}
+    for key, name, kind, a, b, c in out:
+        if kind == sentencepiece_codec.CHUNKS:
+            assert 0 <= key < 3
+            numbers = np.cumsum(sentencepiece_codec.unpack_numbers(a)).tolist()
+            found = sentencepiece_codec.unpack_strings(b, c)
+            assert len(numbers) == len(found) == len(set(found))
+            chunks_of.setdefault(name, {}).update(zip(numbers, found, strict=True))
+    table, got = sentencepiece_codec.Segmenter(MODEL), []
+    for _, name, kind, a, b, c in out:
+        if kind == sentencepiece_codec.DOCUMENTS:
+            seen, *lengths = sentencepiece_codec.unpack_numbers(b).tolist()
+            places, at = sentencepiece_codec.unpack_places(c, seen).tolist(), 0
+            for i, n in zip(sentencepiece_codec.unpack_ids(a), lengths, strict=True):
+                ids = table.ids([chunks_of[name][p] for p in places[at : at + n]])
+                got.append((i, [x for part in ids for x in part]))
+                at += n
+    want = [(r[0], sp.encode(r[1] or "")) for r in rows] + [(None, sp.encode("null id"))] + [(1, sp.encode(rows[1][1]))] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_token_counts(docs, rows, empty):
     pieces = set(token_counts.pieces_of(MODEL))
     longest = max(map(len, pieces))
