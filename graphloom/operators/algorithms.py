@@ -37,23 +37,24 @@ def overlap_check(g: Graph, fasta: DataFrame | None = None) -> DataFrame:
 
 
 def component_edges(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of (a, b) edges, root the least name: alternating stars."""
-    pairs = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    """(node, root) for every node of (a, b) edges, root the least name: alternating stars.
+
+    Rounds never join two components nor split one, and end when the edges are disjoint stars: when no
+    node has two centres and no centre has one itself."""
+    pairs = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "pairs")
     nodes = pairs.select("x").union(pairs.select("y")).distinct()
-    now = cut(pairs.filter("x <> y").distinct(), "stars")
-    before = None
+    now = pairs.filter("x <> y")
     while True:
-        both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = now.select("x", "y", F.lit(1).alias("ray"), F.lit(0).alias("centre")).union(now.select("y", "x", F.lit(0), F.lit(1)))
         # Written first, so that both sides of the joins are plain exchanges, in which hubs can be split.
-        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), (F.sum("ray") + F.max("centre")).alias("stars"))
+        least = cut(least, "least")
+        if least.filter("stars > 1").isEmpty():
+            return nodes.join(now, "x", "left").select(F.col("x").alias("node"), F.coalesce("y", "x").alias("root"))
         large = cut(both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
         low = cut(large.groupBy("x").agg(F.min("y").alias("m")), "low")
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
-        now = cut(small.distinct(), "stars")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if state == before:
-            return nodes.join(now, "x", "left").select(F.col("x").alias("node"), F.coalesce("y", "x").alias("root"))
-        before = state
+        now = cut(small.filter("x <> y").distinct(), "stars")
 
 
 def components(g: Graph) -> DataFrame:
