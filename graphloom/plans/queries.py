@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import codec_size as cs
 from graphloom.functions import codecs
+from graphloom.functions import list_codecs as lists_of
 from graphloom.functions import sequence as sq
 from graphloom.operators import algorithms as al
 from graphloom.operators import analytics as an
@@ -632,6 +633,30 @@ def string_codecs_round_trip(spark, d):
     return out.groupBy("codec").agg(F.count("*").alias("lists"), F.bool_and("same").alias("same"))
 
 
+LIST_CODECS = dict.fromkeys(["superstring_none", "superstring_huffman", "superstring_two_bit_dna", "superstring_ppm", "model"])
+
+
+@register(f"SELECT codec, count(DISTINCT c_nationkey) AS lists, count(*) AS strings, true AS same FROM customer, (SELECT unnest({_names(LIST_CODECS)}) AS codec) GROUP BY codec")
+def list_codecs_round_trip(spark, d):
+    """Superstring codecs and the order-k model over the segments and numbers of each nation's customers."""
+    lists = derive.load(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.concat("c_mktsegment", F.col("c_custkey").cast("string")))).alias("v"))
+    lists = cut(lists, "lists")
+    out = None
+    for name in LIST_CODECS:
+        back = lists_of.decoded_list(lists_of.encoded_list(F.col("v"), name), F.size("v"), name)
+        part = lists.select(F.lit(name).alias("codec"), F.size("v").alias("n"), (back == F.col("v")).alias("same"))
+        out = part if out is None else out.union(part)
+    return out.groupBy("codec").agg(F.count("*").alias("lists"), F.sum("n").alias("strings"), F.bool_and("same").alias("same"))
+
+
+@register(sql("SELECT from_node, count(*) AS cigars, true AS same FROM d_links GROUP BY from_node"))
+def cigar_lists_round_trip(spark, d):
+    """The alignments of each segment's links as one CIGAR list, as bytes and back."""
+    lists = derive.links(spark, d).groupBy("from_node").agg(F.sort_array(F.collect_list("alignment")).alias("v"))
+    back = lists_of.decoded_list(lists_of.encoded_list(F.col("v"), "cigar"), F.size("v"), "cigar")
+    return lists.select("from_node", F.size("v").cast("bigint").alias("cigars"), (back == F.col("v")).alias("same"))
+
+
 @register(sql("SELECT eid, CAST(n AS VARCHAR)||'M'||n||'I1D2N3S4H5P6=7X' AS cigar, 9 AS ops, CAST(2*n+28 AS BIGINT) AS total, '012345678' AS codes FROM (SELECT eid, length(from_node) AS n FROM d_links)"))
 def cigar_letters(spark, d):
     """CIGARs of all operations, parsed; a letter's code is its place."""
