@@ -43,8 +43,11 @@ def parser() -> argparse.ArgumentParser:
     measure.add_argument("--output")
     measure.add_argument("--option", choices=sorted(block_file.MEASURES))
     measure.add_argument("--encode-time-ms", type=float, default=0.0)
-    for name, text in (("validate", "check each block and field; fails where one is wrong"), ("dump", "the decoded tables as JSON lines")):
-        sub.add_parser(name, help=text).add_argument("input")
+    sub.add_parser("validate", help="check each block and field; fails where one is wrong").add_argument("input")
+    dump = sub.add_parser("dump", help="the decoded tables as JSON lines, as far as a cut or broken file goes; fails where it is one")
+    dump.add_argument("input")
+    dump.add_argument("--blocks", action="store_true", help="the blocks too, before the tables")
+    dump.add_argument("--text", action="store_true", help="indented text, with the blocks")
     sub.add_parser("pretty", help="counts and every element, to be read").add_argument("input")
     same = sub.add_parser("same", help="whether two graphs are equal but for the names of segments; fails where not")
     same.add_argument("first")
@@ -71,6 +74,41 @@ def _text(g, output: str | None) -> None:
         print(r["line"])
 
 
+def _dump(spark, path: str, text: bool, with_blocks: bool) -> int:
+    """0 where every block could be decoded."""
+    try:
+        head = block_file.header(path)
+    except block_file.BlockError as e:
+        print(f"error: {e}" if text else json.dumps({"error": str(e)}))
+        return 1
+    print("\n".join(["header", *[f"  {k}: {v!r}" for k, v in head.items()]]) if text else json.dumps({"header": head}))
+    errors = []
+    for b in block_file.outline(path):
+        if "error" in b:
+            errors.append(b["error"])
+        elif text:
+            print(f"block {b['index']}: {b['section']}, {b['records']} records, {b['size']} bytes from {b['start']}")
+            for p in b["fields"]:
+                print(f"  {p['field']}: code {p['code']:#x}, {p['size']} bytes, {p['raw']} raw")
+        elif with_blocks:
+            print(json.dumps({"block": b}))
+    for r in block_file.validate(spark, path, damaged=True).filter("not correct").orderBy("block_index", "section_field").toLocalIterator():
+        errors.append(f"block {r['block_index']}, {r['section_field']}: {r['message']}")
+    g = block_file.read(spark, path, damaged=True)
+    for name in ("segments", "links", "paths", "walks"):
+        rows = getattr(g, name).orderBy("ord")
+        if text:
+            print(name)
+            for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+                print("  " + ", ".join(f"{k}: {v if isinstance(v, (str, int)) else json.dumps(v)}" for k, v in json.loads(r["j"]).items()))
+        else:
+            for r in rows.select(F.to_json(F.struct(F.lit(name).alias("table"), "*")).alias("j")).toLocalIterator():
+                print(r["j"])
+    for e in errors:
+        print(f"error: {e}" if text else json.dumps({"error": e}))
+    return int(bool(errors))
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "encodings":
@@ -127,11 +165,7 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(r.asDict()))
         return int(wrong > 0)
     else:
-        print(json.dumps({"header": block_file.header(a.input)}))
-        g = block_file.read(spark, a.input)
-        for name in ("segments", "links", "paths", "walks"):
-            for r in getattr(g, name).orderBy("ord").select(F.to_json(F.struct(F.lit(name).alias("table"), "*")).alias("j")).toLocalIterator():
-                print(r["j"])
+        return _dump(spark, a.input, a.text, a.blocks or a.text)
     return 0
 
 

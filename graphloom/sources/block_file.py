@@ -165,7 +165,7 @@ def walk(path: str) -> Iterator[Block]:
                 raise BlockError(f"no section {section} at byte {at}")
             head = HEADS[section]
             if len(lead) < head.size:
-                raise BlockError(f"the block at byte {at} ends early")
+                raise BlockError(f"the block of {NAMES[section]} at byte {at} ends early: its head has {head.size} bytes, {len(lead)} are there")
             _, n, *v = head.unpack_from(lead)
             more = 0
             if section == SEGMENTS:
@@ -181,9 +181,9 @@ def walk(path: str) -> Iterator[Block]:
             parts, inside = [], head.size
             for name, code, size, raw in fields:
                 parts.append(Part(name, code, inside, size, raw))
+                if at + inside + size > end:
+                    raise BlockError(f"the block of {NAMES[section]} at byte {at} ends early: {name} has {size} bytes, {end - at - inside} are there")
                 inside += size
-            if at + inside > end:
-                raise BlockError(f"the block at byte {at} ends early")
             if section == PATHS:
                 wanted = CHUNK
                 size = noted.get(at, 0) - at - inside
@@ -198,7 +198,7 @@ def walk(path: str) -> Iterator[Block]:
                         known = _steps_end(data, n, v[1])
                     except (ValueError, IndexError, struct.error):
                         if len(data) < wanted:
-                            raise BlockError(f"the block at byte {at} ends early") from None
+                            raise BlockError(f"the block of paths at byte {at} ends early: its steps do not end") from None
                         wanted *= 2
                 size, total = known
                 parts.append(Part("paths", v[1], inside, size, 8 * (n + 2 * total)))
@@ -209,6 +209,25 @@ def walk(path: str) -> Iterator[Block]:
             at, index = at + inside, index + 1
 
 
+def outline(path: str) -> Iterator[dict]:
+    """index, section, records, start, size and fields (field, code, size, raw) of each block by the heads, for
+    people and reports. A file that is cut or broken is told as far as it can be read; the last dict then
+    has only ``error``."""
+    try:
+        for b in walk(path):
+            fields = [{"field": p.field, "code": p.code, "size": p.size, "raw": p.raw} for p in b.parts]
+            yield {"index": b.index, "section": NAMES[b.section], "records": b.n, "start": b.start, "size": b.size, "fields": fields}
+    except BlockError as e:
+        yield {"error": str(e)}
+
+
+def _blocks_until_broken(path: str) -> Iterator[Block]:
+    try:
+        yield from walk(path)
+    except BlockError:
+        return
+
+
 # Decoding a block
 
 
@@ -293,10 +312,10 @@ SCHEMAS = {
 _BLOCK = "index bigint, section int, n bigint, more bigint, base bigint, more_base bigint, start bigint, size bigint, parts array<struct<field:string,code:bigint,start:bigint,size:bigint,raw:bigint>>"
 
 
-def block_table(spark: SparkSession, path: str) -> DataFrame:
+def block_table(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
     """One row a block: where it is, what it holds; of payloads only the step counts of paths are read, if the
-    file has its side file."""
-    rows = [(b.index, b.section, b.n, b.more, b.base, b.more_base, b.start, b.size, [(p.field, p.code, p.start, p.size, p.raw) for p in b.parts]) for b in walk(path)]
+    file has its side file. Where the heads break off, this raises, or with ``damaged`` ends before."""
+    rows = [(b.index, b.section, b.n, b.more, b.base, b.more_base, b.start, b.size, [(p.field, p.code, p.start, p.size, p.raw) for p in b.parts]) for b in (_blocks_until_broken if damaged else walk)(path)]
     return spark.createDataFrame(rows, _BLOCK)
 
 
@@ -304,7 +323,7 @@ def _block(r: dict) -> Block:
     return Block(r["index"], r["section"], r["n"], r["more"], r["base"], r["more_base"], r["start"], r["size"], tuple(Part(**p) for p in r["parts"]))
 
 
-def _decoded(blocks: DataFrame, path: str, section: int, many: int) -> DataFrame:
+def _decoded(blocks: DataFrame, path: str, section: int, many: int, damaged: bool = False) -> DataFrame:
     schema = SCHEMAS[section]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -319,7 +338,13 @@ def _decoded(blocks: DataFrame, path: str, section: int, many: int) -> DataFrame
                 for r in batch.to_pylist():
                     b = _block(r)
                     f.seek(b.start)
-                    rows = [dict(zip(names, row, strict=True)) for row in _records(b, f.read(b.size))]
+                    try:
+                        records = _records(b, f.read(b.size))
+                    except Exception:
+                        if not damaged:
+                            raise
+                        continue  # ``validate`` tells which
+                    rows = [dict(zip(names, row, strict=True)) for row in records]
                     for row in rows:
                         if "steps" in row:
                             row["steps"] = [dict(zip(step, s, strict=True)) for s in row["steps"]]
@@ -328,11 +353,14 @@ def _decoded(blocks: DataFrame, path: str, section: int, many: int) -> DataFrame
     return blocks.filter(F.col("section") == section).repartition(many, "index").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str, partitions: int | None = None) -> Graph:
-    """The graph in a block file; steps of numbers without a segment are named ``s`` and the number."""
-    blocks = block_table(spark, path)
+def read(spark: SparkSession, path: str, partitions: int | None = None, damaged: bool = False) -> Graph:
+    """The graph in a block file; steps of numbers without a segment are named ``s`` and the number.
+
+    With ``damaged`` only the blocks before the heads break off are read, of those the ones that can be
+    decoded; ``outline`` and ``validate`` tell what is missing."""
+    blocks = block_table(spark, path, damaged)
     many = partitions or max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
-    got = {s: _decoded(blocks, path, s, many) for s in SCHEMAS}
+    got = {s: _decoded(blocks, path, s, many, damaged) for s in SCHEMAS}
     names = got[SEGMENTS].select(F.col("ord").alias("__i"), F.col("name").alias("__name"))
     tags = {k: got[TAG_BLOCK].filter(F.col("kind") == k).select("ord", tags_of(F.split("tags", "\t")).alias("tags")) for k in (SEGMENTS, LINKS)}
     segments = got[SEGMENTS].join(tags[SEGMENTS], "ord", "left")
@@ -566,9 +594,10 @@ def _raw(b: Block, part: Part, values: list) -> int:
     return sum(len(v) for v in values if not (b.section == SEGMENTS and part.field == "sequences" and v == "*"))
 
 
-def validate(spark: SparkSession, path: str) -> DataFrame:
+def validate(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
     """One row a block and field: the stored and the actual raw size, whether they agree, and how long the
-    decoding took. A field that cannot be decoded is incorrect. Raises where the heads are broken."""
+    decoding took. A field that cannot be decoded is incorrect. Where the heads break off, this raises, or
+    with ``damaged`` ends before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as f:
@@ -592,7 +621,7 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
-    blocks = block_table(spark, path)
+    blocks = block_table(spark, path, damaged)
     return blocks.repartition(max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism)), "index").mapInArrow(run, _CHECK)
 
 

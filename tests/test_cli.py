@@ -46,3 +46,35 @@ def test_load_and_save(spark, tmp_path):
     assert graph_file.load(spark, str(tmp_path / "copy.bgfa")).links.count() == 1
     with pytest.raises(ValueError):
         graph_file.load(spark, "x", "nonsense")
+
+
+def test_dump_of_cut_files(spark, tmp_path, capsys):
+    (tmp_path / "g.gfa").write_text(TEXT)
+    target = tmp_path / "g.blocks"
+    block_file.write(graph_file.load(spark, str(tmp_path / "g.gfa")), str(target))
+    data = target.read_bytes()
+    run = lambda *args: (cli.main(["dump", str(target), *args]), capsys.readouterr().out.splitlines())
+    done, lines = run("--blocks")
+    blocks = [json.loads(x)["block"] for x in lines if "block" in json.loads(x)]
+    assert done == 0 and [b["section"] for b in blocks] == ["segments", "links", "paths", "walks", "tags"]
+    assert sum(b["size"] for b in blocks) == len(data) - blocks[0]["start"]
+    for whole, cut_at in ((2, blocks[2]["start"] + 3), (2, blocks[2]["start"] + blocks[2]["size"] - 1), (1, blocks[1]["start"] + 40), (0, blocks[0]["start"] + 5)):
+        target.write_bytes(data[:cut_at])
+        done, lines = run("--blocks")
+        got = [json.loads(x) for x in lines]
+        assert done == 1 and "ends early" in got[-1]["error"]
+        assert [g["block"]["section"] for g in got if "block" in g] == ["segments", "links"][:whole]
+        assert [g["table"] for g in got if "table" in g] == ["segments"] * (2 * (whole > 0)) + ["links"] * (whole > 1)
+        done, lines = run("--text")
+        assert done == 1 and lines[0] == "header" and lines[-1].startswith("error: ")
+    # a payload that cannot be decoded leaves the other blocks alone
+    broken = bytearray(data)
+    at = blocks[0]["start"] + block_file.HEADS[block_file.SEGMENTS].size
+    broken[at] = 0x7F
+    target.write_bytes(bytes(broken))
+    done, lines = run()
+    tables = [json.loads(x).get("table") for x in lines]
+    assert done == 1 and "segments" not in tables and {"links", "paths", "walks"} < set(tables)
+    for short in (b"", data[:5], b"no such file" * 3):
+        target.write_bytes(short)
+        assert run()[0] == 1
