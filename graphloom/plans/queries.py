@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -394,11 +396,9 @@ def codec_bytes(spark, d):
     """Bytes of each order's parts as really encoded, and whether they decode to what they were."""
     lists = derive.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v"))
     names = ("varint", "elias_gamma", "rice", "group_varint")
-    rows = lists.select("l_orderkey", "v", F.size("v").cast("bigint").alias("n"), *[codecs.encoded(F.col("v"), k).alias(f"{k}_b") for k in names])
-    same = F.lit(True)
-    for k in names:
-        same = same & (codecs.decoded(F.col(f"{k}_b"), F.col("n"), k) == F.col("v"))
-    return rows.select("l_orderkey", "n", *[F.octet_length(f"{k}_b").cast("bigint").alias(k) for k in names], same.alias("same"))
+    rows = lists.select("l_orderkey", F.size("v").cast("bigint").alias("n"), codecs.round_trips(F.col("v"), *names).alias("t"))
+    same = reduce(and_, [F.col("t")[k]["same"] for k in names])
+    return rows.select("l_orderkey", "n", *[F.col("t")[k]["size"].alias(k) for k in names], same.alias("same"))
 
 
 def _folder(spark, name: str) -> str:

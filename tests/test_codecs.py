@@ -1,6 +1,7 @@
 """Byte codecs: round trips, sizes against the closed forms, fixed layouts, values that do not fit."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -103,3 +104,40 @@ def test_names():
         with pytest.raises(ValueError):
             codecs.code_of(bad)
     assert [codecs.suggest_strings(x) for x in (b"", b"ACGTN" * 9, b"abab" * 90, bytes(range(65, 90)))] == ["none", "two_bit_dna", "bwt_huffman", "zstd_dict"]
+
+
+def test_unary_parts_without_a_letter_a_bit():
+    rng = random.Random(11)
+    values = [rng.randrange(1 << 20) for _ in range(40)]
+    low = lambda x, bits: f"{x % (1 << bits):0{bits}b}"
+    for name, unary, stop, k in (("rice", "1", "0", 4), ("exp_golomb", "0", "1", None)):
+        data = codecs.INTEGERS[name][0](values)
+        head = 1 if name == "rice" else 5
+        k = k or data[4]
+        text = "".join([unary * (x >> k) + stop + low(x, k) for x in values])
+        assert data[head:] == int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+        assert codecs.round_trip(values, name) == (len(data), True)
+        with pytest.raises(ValueError):
+            codecs.INTEGERS[name][1](data[: len(data) // 2], len(values))
+
+
+def test_unary_parts_take_the_memory_of_their_bytes():
+    encode, decode = codecs.INTEGERS["rice"]
+    tracemalloc.start()
+    data = encode([5_000_000] * 50)
+    assert decode(data, 50) == ([5_000_000] * 50, len(data))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 1_900_000 and most < 4 * len(data)
+
+
+def test_round_trips(spark):
+    from pyspark.sql import functions as F
+
+    lists = spark.range(0, 3000, 1, 1).select("id", F.array(F.lit(5_000_000) + F.col("id")).alias("v"))
+    rows = lists.select(codecs.round_trips(F.col("v"), "rice", "varint").alias("t"))
+    got = rows.agg(F.count("*"), F.bool_and(F.col("t")["rice"]["same"]), F.sum(F.col("t")["rice"]["size"]), F.sum(F.col("t")["varint"]["size"])).first()
+    want = sum(1 + -(-(((5_000_000 + i) >> 4) + 5) // 8) for i in range(3000))
+    assert tuple(got) == (3000, True, want, 12000)
+    empty = spark.sql("select cast(null as array<bigint>) v union all select array()").select(codecs.round_trips(F.col("v"), "varint").alias("t")).collect()
+    assert {tuple(r["t"]["varint"]) for r in empty} == {(None, None), (0, True)}
