@@ -610,14 +610,11 @@ def _names(table: dict) -> str:
 
 @register(f"SELECT codec, count(DISTINCT l_orderkey) AS lists, true AS same FROM lineitem, (SELECT unnest({_names(codecs.INTEGER_CODES)}) AS codec) GROUP BY codec")
 def integer_codecs_round_trip(spark, d):
-    """Every integer codec over the parts of each order, as bytes and back."""
-    lists = cut(derive.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v")), "lists")
-    out = None
-    for name in codecs.INTEGER_CODES:
-        back = codecs.decoded(codecs.encoded(F.col("v"), name), F.size("v"), name)
-        part = lists.select(F.lit(name).alias("codec"), (back == F.col("v")).alias("same"))
-        out = part if out is None else out.union(part)
-    return out.groupBy("codec").agg(F.count("*").alias("lists"), F.bool_and("same").alias("same"))
+    """Every integer codec over the parts of each order, as bytes and back; parts that a codec cannot hold, in digits."""
+    lists = derive.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("v"))
+    rows = lists.select(codecs.round_trips(F.col("v"), *codecs.INTEGER_CODES, digits=True).alias("t"))
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), F.col("t")[k]["same"].alias("same")) for k in codecs.INTEGER_CODES])).alias("x")).select("x.*")
+    return each.groupBy("codec").agg(F.count("*").alias("lists"), F.bool_and("same").alias("same"))
 
 
 @register(f"SELECT codec, count(DISTINCT c_nationkey) AS lists, true AS same FROM customer, (SELECT unnest({_names(codecs.STRING_CODES)}) AS codec) GROUP BY codec")

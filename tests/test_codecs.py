@@ -141,3 +141,29 @@ def test_round_trips(spark):
     assert tuple(got) == (3000, True, want, 12000)
     empty = spark.sql("select cast(null as array<bigint>) v union all select array()").select(codecs.round_trips(F.col("v"), "varint").alias("t")).collect()
     assert {tuple(r["t"]["varint"]) for r in empty} == {(None, None), (0, True)}
+
+
+def test_golomb_divisor_is_one_byte():
+    encode, decode = codecs.INTEGERS["golomb"]
+    for values in ([120_000], [1_200_000, 5], [65_025, 0], [255, 256]):
+        data = encode(values)
+        assert decode(data + b"rest", len(values)) == (values, len(data))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_values_in_digits(name):
+    encode, decode = codecs.in_digits(name)
+    for values in ([], [0, 7], [65_535, 65_536, 3], [(1 << 33) + 5, 0, (1 << 36) + 9]):
+        if values and max(values) >> 32 and name in ("rice", "exp_golomb"):
+            values = [x >> 16 for x in values]
+        data = encode(values)
+        assert decode(data + b"\0rest", len(values))[0] == values
+        assert codecs.round_trip(values, name, digits=True)[1]
+
+
+def test_parts_over_16_bits(spark, tmp_path):
+    from graphloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, 120_000), (1, 65_536), (2, 7), (2, 1_199_999), (3, 65_535)], "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["integer_codecs_round_trip"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(name, 3, True) for name in codecs.INTEGER_CODES}
