@@ -116,15 +116,21 @@ def top(ranked: DataFrame, mode: str, n: int) -> DataFrame:
 
 
 def pareto(ranked: DataFrame, more: str = "ratio_mean", less: str = "decode_ms", by: str = "compression_option") -> DataFrame:
-    """Rows that no row of their group beats: one as good in both figures and better in one.
-
-    Sorted by the one figure, a row stays if it beats all before it in the other: no pairs are made."""
-    w = Window.partitionBy(by).orderBy(F.asc(less))
-    same = ranked.withColumn("__best", F.max(more).over(Window.partitionBy(by, less)))
-    groups = same.select(by, less, "__best").distinct()
-    beaten = F.max("__best").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    groups = groups.withColumn("__before", beaten).filter("__before is null or __best > __before").select(by, less, "__best")
-    return same.join(groups, [by, less, "__best"], "left_semi").filter(F.col(more) == F.col("__best")).select(ranked.columns)
+    """Rows that no row of their group beats: one as good in both figures and better in one. A row without a
+    figure or a group neither beats nor is beaten.
+
+    Sorted by the one figure, a row stays if it beats all before it in the other: no pairs are made. All is read
+    off one pass, since averages computed twice can differ in their last bits."""
+    known = F.col(by).isNotNull() & F.col(more).isNotNull() & F.col(less).isNotNull()
+    best = F.when(known, F.col(more))
+    group = [F.col(by), known]
+    order = Window.partitionBy(*group).orderBy(F.asc(less), F.desc(more))
+    # The first row of a figure knows the best of all smaller ones.
+    seen = F.struct(F.row_number().over(order).alias("i"), F.max(best).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    same = Window.partitionBy(*group, less)
+    rows = ranked.withColumn("__seen", seen).withColumn("__best", F.max(best).over(same)).withColumn("__before", F.min("__seen").over(same)["before"])
+    stays = ~known | (F.col(more) == F.col("__best")) & (F.col("__before").isNull() | (F.col("__best") > F.col("__before")))
+    return rows.filter(stays).select(ranked.columns)
 
 
 def quartiles(df: DataFrame, value: str) -> DataFrame:

@@ -176,6 +176,19 @@ def test_ranking(spark):
     assert values(an.quartiles(words, "v").select("bucket"), "bucket") == [("all",), ("all",)]
 
 
+def test_pareto_of_figures_that_differ_in_their_last_bits(spark):
+    noise = F.udf(lambda: random.SystemRandom().random() / 1e9, "double").asNondeterministic()
+    points = spark.createDataFrame([("o", "k", 4.5, 7.0), ("o", "l", 4.5, 9.0), ("o", "m", 2.0, 1.5), ("o", "n", 1.0, 3.0), ("o", "q", 9.0, 40.0), ("p", "r", 0.5, 99.0)], "compression_option string, v string, ratio_mean double, decode_ms double")
+    noisy = points.withColumn("ratio_mean", F.col("ratio_mean") - F.col("decode_ms") / 1e6 + noise()).withColumn("decode_ms", F.col("decode_ms") + noise())
+    assert values(an.pareto(noisy), "v") == [("k",), ("m",), ("q",), ("r",)]
+
+
+def test_pareto_ties_and_nulls(spark):
+    rows = [("o", "a", 3.0, 1.0), ("o", "b", 3.0, 1.0), ("o", "c", 3.0, 2.0), ("o", "d", 2.0, 1.0), ("o", "e", None, 5.0), ("o", "f", 9.0, None), (None, "g", 1.0, 1.0), (None, "h", 2.0, 1.0)]
+    points = spark.createDataFrame(rows, "compression_option string, v string, ratio_mean double, decode_ms double")
+    assert values(an.pareto(points), "v") == [("a",), ("b",), ("e",), ("f",), ("g",), ("h",)]
+
+
 def test_codec_columns(spark):
     df = spark.createDataFrame([([1, 2, 300],), ([],), (None,)], "v array<bigint>")
     data = df.withColumn("d", codecs.encoded(F.col("v"), "varint")).withColumn("n", F.coalesce(F.size("v"), F.lit(0)))
