@@ -6,10 +6,13 @@ but for ``dfs_edges``, whose result is an order that only one walker can make.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from graphloom.functions.sequence import cigar_overlap, flip, oriented, overlap_
 from graphloom.operators.graph import Graph, both_ways, degrees
 from graphloom.plans.tables import cut
 
+#: Edges that a task turns into stars at once, and rows of a batch that it gives back.
+STRETCH, ROWS = 200_000, 10_000
+
 
 def overlap_check(g: Graph, fasta: DataFrame | None = None) -> DataFrame:
     """eid, declared, real, status of each link with both segments; ``fasta`` (id, sequence) serves ``*``.
@@ -36,21 +42,61 @@ def overlap_check(g: Graph, fasta: DataFrame | None = None) -> DataFrame:
     return rows.select("eid", "from_node", "to_node", "declared", "real", status.alias("status"))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) for the names of (a, b) edges, y the least name of x's piece among the edges of a stretch; y itself
+    has a row only where it is alone."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (y := above[x]) != x:
+            above[x] = x = above[y]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        tops = {x: y for x in above if (y := top(x)) != x}
+        tops |= {x: x for x in above.keys() - tops.keys() - set(tops.values())}
+        return pa.RecordBatch.from_arrays([pa.array(list(tops), pa.string()), pa.array(list(tops.values()), pa.string())], names=["x", "y"])
+
+    left = STRETCH
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = a if a is not None else b, b if b is not None else a
+            if a is None:
+                continue
+            for x in (a, b):
+                if x not in above:
+                    above[x] = x
+            a, b = top(a), top(b)
+            if a < b:
+                above[b] = a
+            elif b < a:
+                above[a] = b
+        left -= batch.num_rows
+        if left <= 0:
+            yield stars()
+            above.clear()
+            left = STRETCH
+    yield stars()
+
+
 def component_edges(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of (a, b) edges, root the least name: alternating stars.
 
-    Rounds never join two components nor split one, and end when the edges are disjoint stars: when no
-    node has two centres and no centre has one itself."""
-    pairs = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "pairs")
-    nodes = pairs.select("x").union(pairs.select("y")).distinct()
+    Tasks first turn stretches of their edges into stars. Rounds never join two components nor split one, and end
+    when the edges are disjoint stars: when no node has two centres and no centre has one itself."""
+    pairs = cut(edges.select("a", "b").mapInArrow(_contracted, "x string, y string"), "pairs")
     now = pairs.filter("x <> y")
     while True:
         both = now.select("x", "y", F.lit(1).alias("ray"), F.lit(0).alias("centre")).union(now.select("y", "x", F.lit(0), F.lit(1)))
         # Written first, so that both sides of the joins are plain exchanges, in which hubs can be split.
-        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), (F.sum("ray") + F.max("centre")).alias("stars"))
+        ray = F.when(F.col("ray") == 1, F.col("y"))
+        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), ((F.min(ray) < F.max(ray)) | (F.max("ray") + F.max("centre") > 1)).alias("more"))
         least = cut(least, "least")
-        if least.filter("stars > 1").isEmpty():
-            return nodes.join(now, "x", "left").select(F.col("x").alias("node"), F.coalesce("y", "x").alias("root"))
+        if least.filter("more").isEmpty():
+            found, alone = least.select(F.col("x").alias("node"), F.col("m").alias("root")), pairs.filter("x = y").select(F.col("x").alias("node"))
+            if alone.isEmpty():
+                return found
+            return found.union(alone.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
         large = cut(both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
         low = cut(large.groupBy("x").agg(F.min("y").alias("m")), "low")
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
@@ -99,17 +145,18 @@ def dfs_edges(g: Graph, source: str | None = None, keep: Column | None = None) -
     """(component, position, u, v, eid): tree edges in depth-first preorder, neighbours by name; ``keep``
     selects the links that there are.
 
-    One walker a component, which holds that component's edges."""
-    g = g if keep is None else replace(g, links=g.links.filter(keep))
-    links = g.links.select("eid", F.col("from_node").alias("u"), F.col("to_node").alias("v"))
-    rows = links.join(components(g).select(F.col("node").alias("u"), "component"), "u")
+    One walker a component, which holds that component's edges; a task walks its components one after the other."""
+    links = g.links if keep is None else g.links.filter(keep)
+    links = cut(links.select("eid", F.col("from_node").alias("u"), F.col("to_node").alias("v")), "edges")
+    found = component_edges(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     if source is not None:
-        at = component_of(g, source).agg(F.min("node").alias("component"))
-        rows = rows.join(at, "component", "left_semi")
+        at = found.filter(F.col("node") == source).select("root")
+        found = found.join(F.broadcast(at), "root", "left_semi")
+    rows = links.join(found.select(F.col("node").alias("u"), F.col("root").alias("component")), "u").select("component", "u", "v", "eid")
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(component: str, edges: list[tuple]) -> list[tuple]:
         near: dict[str, list[tuple[str, str]]] = {}
-        for u, v, e in zip(pdf.u, pdf.v, pdf.eid, strict=True):
+        for _, u, v, e in edges:
             near.setdefault(u, []).append((v, e or ""))
             near.setdefault(v, []).append((u, e or ""))
         start = source if source in near else min(near)
@@ -120,14 +167,26 @@ def dfs_edges(g: Graph, source: str | None = None, keep: Column | None = None) -
             for v, e in rest:
                 if v not in seen:
                     seen.add(v)
-                    out.append((key[0], len(out), u, v, e))
+                    out.append((component, len(out), u, v, e))
                     stack.append((v, iter(sorted(near[v]))))
                     break
             else:
                 stack.pop()
-        return pd.DataFrame(out, columns=["component", "position", "u", "v", "eid"])
-
-    return rows.groupBy("component").applyInPandas(walk, "component string, position bigint, u string, v string, eid string")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["component", "position", "u", "v", "eid"])
+        out: list[tuple] = []
+        for component, edges in itertools.groupby(each, lambda r: r[0]):
+            out += walk(component, list(edges))
+            if len(out) >= ROWS:
+                yield table(out)
+                out = []
+        yield table(out)
+
+    return rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "component string, position bigint, u string, v string, eid string")
 
 
 def unary_links(links: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import lzma
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,36 @@ def test_dfs_and_colours(spark):
     assert al.may_be_isomorphic(g, h) and not al.may_be_isomorphic(g, k)
 
 
+def test_components_across_stretches(spark, monkeypatch):
+    """Chains, hubs, loops and lone names whose edges lie in many stretches, against plain union."""
+    rng = random.Random(5)
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(60)] + [("hub", f"h{i}") for i in range(40)] + [("loop", "loop"), ("x", None), (None, "y")]
+    edges += [(f"r{rng.randrange(80)}", f"r{rng.randrange(80)}") for _ in range(50)]
+    rng.shuffle(edges)
+    monkeypatch.setattr(al, "STRETCH", 3)
+    stars = {r for b in al._contracted(iter(pa.RecordBatch.from_pylist([{"a": a, "b": b}]) for a, b in edges)) for r in zip(*b.to_pydict().values(), strict=True)}
+    root = {x: x for e in edges for x in e if x}
+    for _ in root:
+        for a, b in edges:
+            a, b = a or b, b or a
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[x] == root[y] and x >= y for x, y in stars) and {x for s in stars for x in s} == set(root)
+    df = spark.createDataFrame(edges, "a string, b string").repartition(5)
+    assert dict(map(tuple, al.component_edges(df).collect())) == root
+
+
+def test_dfs_of_many_components_calls_no_function_each(spark):
+    chains = [("L", f"n{i}.{k}", f"n{i}.{k + 1}", f"e{i}.{k}") for i in range(300) for k in range(i % 4)] + [("L", "z", "z", "zz")]
+    links = spark.createDataFrame(chains, "kind string, from_node string, to_node string, eid string")
+    links = links.select("eid", "kind", "from_node", F.lit("+").alias("from_orn"), "to_node", F.lit("+").alias("to_orn"), F.lit("*").alias("alignment"))
+    found = al.dfs_edges(gr.Graph.of(spark, links=links))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    want = {(f"n{i}.0", k, f"n{i}.{k}", f"n{i}.{k + 1}", f"e{i}.{k}") for i in range(300) for k in range(i % 4)}
+    assert {tuple(r) for r in found.collect()} == want
+    only = al.dfs_edges(gr.Graph.of(spark, links=links), "n3.2").orderBy("position").collect()
+    assert [(r["position"], r["u"], r["v"]) for r in only] == [(0, "n3.2", "n3.1"), (1, "n3.1", "n3.0"), (2, "n3.2", "n3.3")]
+
+
 def test_ranking(spark):
     rows = [("o", "a", 2000, 250, 500.0, 500.0, "x"), ("o", "b", 10, 0, 0.0, 0.0, "x")]
     df = spark.createDataFrame(rows, "compression_option string, compression_value string, uncompressed_length bigint, compressed_length bigint, encode_time_ms double, decode_time_ms double, original_gfa string")
