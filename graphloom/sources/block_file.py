@@ -39,6 +39,8 @@ HEADS = {SEGMENTS: struct.Struct("<BHHQQHQQ"), LINKS: struct.Struct("<BHHQIQQ"),
 NAMES = {SEGMENTS: "segments", LINKS: "links", PATHS: "paths", WALKS: "walks", TAG_BLOCK: "tags"}
 MOST = 65535
 CHUNK = 1 << 16
+#: Bytes of a piece of a block on its way to the file, and about how many of them the driver holds.
+PIECE, AT_ONCE = 1 << 16, 1 << 23
 
 
 class BlockError(ValueError):
@@ -328,9 +330,15 @@ def _decoded(blocks: DataFrame, path: str, section: int, many: int, damaged: boo
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    names = [p.split()[0] for p in schema.split(", ")]
     target = to_arrow_schema(_parse_datatype_string(schema))
-    step = ("i", "name", "orn")
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        flat = list(zip(*[s for steps in values for s in steps], strict=True)) or [(), (), ()]
+        inner = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(flat, kind.value_type, strict=True)], fields=list(kind.value_type))
+        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), inner, type=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as f:
@@ -344,11 +352,8 @@ def _decoded(blocks: DataFrame, path: str, section: int, many: int, damaged: boo
                         if not damaged:
                             raise
                         continue  # ``validate`` tells which
-                    rows = [dict(zip(names, row, strict=True)) for row in records]
-                    for row in rows:
-                        if "steps" in row:
-                            row["steps"] = [dict(zip(step, s, strict=True)) for s in row["steps"]]
-                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    if records:
+                        yield pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(zip(*records, strict=True), target, strict=True)], schema=target)
 
     return blocks.filter(F.col("section") == section).repartition(many, "index").mapInArrow(run, schema)
 
@@ -361,8 +366,12 @@ def read(spark: SparkSession, path: str, partitions: int | None = None, damaged:
     blocks = block_table(spark, path, damaged)
     many = partitions or max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
     got = {s: _decoded(blocks, path, s, many, damaged) for s in SCHEMAS}
+    # These are read more than once. Plans take what a block decodes to for as large as its row in the table of
+    # blocks and would send it through the driver to all: the hints say that joins are to be sorted.
+    for section in (SEGMENTS, TAG_BLOCK):
+        got[section] = cut(got[section], NAMES[section])
     names = got[SEGMENTS].select(F.col("ord").alias("__i"), F.col("name").alias("__name"))
-    tags = {k: got[TAG_BLOCK].filter(F.col("kind") == k).select("ord", tags_of(F.split("tags", "\t")).alias("tags")) for k in (SEGMENTS, LINKS)}
+    tags = {k: got[TAG_BLOCK].filter(F.col("kind") == k).select("ord", tags_of(F.split("tags", "\t")).alias("tags")).hint("merge") for k in (SEGMENTS, LINKS)}
     segments = got[SEGMENTS].join(tags[SEGMENTS], "ord", "left")
     known = F.element_at("tags", "LN")["value"].try_cast("bigint")
     segments = segments.select("ord", "name", "sequence", F.coalesce(known, F.when(F.col("sequence") != "*", F.length("sequence").cast("bigint"))).alias("slen"), "tags")
@@ -370,7 +379,7 @@ def read(spark: SparkSession, path: str, partitions: int | None = None, damaged:
     for i, name in (("a", "from_node"), ("z", "to_node")):
         # Link ends count segments from one.
         there = names.select((F.col("__i") + 1).alias(i), F.col("__name").alias(name))
-        links = links.join(there, i, "left").withColumn(name, F.coalesce(name, F.concat(F.lit("s"), F.col(i).cast("string"))))
+        links = links.join(there.hint("merge"), i, "left").withColumn(name, F.coalesce(name, F.concat(F.lit("s"), F.col(i).cast("string"))))
     links = links.join(tags[LINKS], "ord", "left")
     inside = F.element_at("tags", "zC")["value"]
     rest = F.map_filter("tags", lambda k, v: k != "zC")
@@ -384,11 +393,11 @@ def read(spark: SparkSession, path: str, partitions: int | None = None, damaged:
 
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Steps with names for ordinals; only steps are joined, and put back in their order."""
-    steps = rows.select("ord", F.posexplode("steps").alias("p", "s")).select("ord", "p", "s.*").join(names, F.col("i") == F.col("__i"), "left")
+    steps = rows.select("ord", F.posexplode("steps").alias("p", "s")).select("ord", "p", "s.*").join(names.hint("merge"), F.col("i") == F.col("__i"), "left")
     name = F.coalesce("name", "__name", F.concat(F.lit("s"), F.col("i").cast("string")))
     lists = steps.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("p", name.alias("seg"), "orn"))).alias("__l"))
     back = F.transform("__l", lambda s: F.struct(s["seg"].alias("seg"), s["orn"].alias("orn")))
-    out = rows.drop("steps").join(lists, "ord", "left")
+    out = rows.drop("steps").join(lists.hint("merge"), "ord", "left")
     return out.withColumn("steps", F.coalesce(back, F.array().cast("array<struct<seg:string,orn:string>>"))).drop("__l")
 
 
@@ -547,7 +556,7 @@ def blocks_of(g: Graph, block_size: int = 1024, **options) -> DataFrame:
 
 def write(g: Graph, path: str, block_size: int = 1024, **options) -> None:
     """One block file. Blocks are encoded side by side and written to the shared folder first; the
-    driver then streams them, one partition at a time, to ``path``."""
+    driver then streams them to ``path`` in pieces, some ``AT_ONCE`` bytes at a time."""
     blocks = cut(blocks_of(g, block_size, **options), "blocks")
     where, name = _place(path)
     starts = []
@@ -557,9 +566,15 @@ def write(g: Graph, path: str, block_size: int = 1024, **options) -> None:
             codes = _codes(options)
             plain = co.code_of("varint-none")
             f.write(encode_block(SEGMENTS, [], {k: plain if v is None else v for k, v in codes.items()}))
-        for r in blocks.orderBy("section", "block").toLocalIterator():
-            starts.append(f.tell())
-            f.write(bytes(r["payload"]))
+        last = F.floor((F.octet_length("payload") - 1) / PIECE).cast("int")
+        many = blocks.agg(F.sum(last + 1)).first()[0] or 0
+        pieces = blocks.select("section", "block", "payload", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+        pieces = pieces.select("section", "block", "piece", F.substring("payload", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("bytes"))
+        order = ("section", "block", "piece")
+        for r in pieces.repartitionByRange(1 + many * PIECE // AT_ONCE, *order).sortWithinPartitions(*order).toLocalIterator():
+            if not r["piece"]:
+                starts.append(f.tell())
+            f.write(bytes(r["bytes"]))
         starts.append(f.tell())
     with where.open_output_stream(_place(_side(path))[1]) as f:
         f.write(np.array(starts, "<i8").tobytes())

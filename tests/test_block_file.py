@@ -134,3 +134,20 @@ def test_options_that_cannot_be(spark, g, tmp_path):
         with pytest.raises(ValueError):
             bf.blocks_of(g, **options)
     assert co.cigar_code() == 0x00010101
+
+
+def test_reading_sends_no_records_through_the_driver(spark, g, tmp_path):
+    """A block's row is small, what it decodes to is not: no plan may take the one's size for the other's."""
+    path = str(tmp_path / "g.bin")
+    bf.write(g, path)
+    plan = gfa_text.canonical(bf.read(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_writing_in_pieces(spark, g, tmp_path, monkeypatch):
+    bf.write(g, str(tmp_path / "whole.bin"), block_size=2)
+    monkeypatch.setattr(bf, "PIECE", 7)
+    monkeypatch.setattr(bf, "AT_ONCE", 50)
+    bf.write(g, str(tmp_path / "pieces.bin"), block_size=2)
+    for end in ("", ".blocks"):
+        assert (tmp_path / f"pieces.bin{end}").read_bytes() == (tmp_path / f"whole.bin{end}").read_bytes()
